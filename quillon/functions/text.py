@@ -62,7 +62,7 @@ def without_trailing_list(sentences: Column) -> Column:
 def page_content(case: Column, number: Column, text: Column) -> Column:
     """`case; § n: text` without every `n.` of the text."""
     n = number.cast("string")
-    return F.concat(case, F.lit("; § "), n, F.lit(": "), F.trim(F.replace(text, F.concat(n, F.lit(".")), F.lit(""))))
+    return F.concat(case, F.lit("; § "), n, F.lit(": "), F.regexp_replace(F.replace(text, F.concat(n, F.lit(".")), F.lit("")), r"(?U)^\s+|\s+$", ""))
 
 
 def without_prefix(text: Column, case: Column, number: Column) -> Column:
@@ -116,7 +116,7 @@ def link_targets(markdown: Column) -> Column:
 
 def collapse_repeats(values: Column) -> Column:
     """Without elements equal to the one before."""
-    return F.transform(F.filter(F.transform(values, lambda x, i: F.struct(x.alias("x"), (i == 0).alias("first"), F.try_element_at(values, i).alias("before"))), lambda s: s["first"] | (s["x"] != s["before"])), lambda s: s["x"])
+    return F.transform(F.filter(F.transform(values, lambda x, i: F.struct(x.alias("x"), (i == 0).alias("first"), F.get(values, i - 1).alias("before"))), lambda s: s["first"] | (s["x"] != s["before"])), lambda s: s["x"])
 
 
 # Markers of error messages and their labels, in order.

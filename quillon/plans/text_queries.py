@@ -25,8 +25,8 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 @query("""
-SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list_transform(flatten(list_transform(regexp_extract_all(text, ' ?\\[\\d+(?:-\\d+)?(?:, ?\\d+(?:-\\d+)?)*\\]'), g -> regexp_extract_all(g, '\\d+(?:-\\d+)?'))),
-  i -> CASE WHEN contains(i, '-') THEN (CASE WHEN length(i) > 18 THEN []::BIGINT[] ELSE range(CAST(split_part(i, '-', 1) AS BIGINT), CAST(split_part(i, '-', 2) AS BIGINT) + 1) END) ELSE [CAST(i AS BIGINT)] END)))), ',') AS numbers,
+SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list_transform(flatten(list_transform(regexp_extract_all(text, ' ?\\[\\d+(?:-\\d+)?(?:, ?\\d+(?:-\\d+)?)*\\]'), lambda g: regexp_extract_all(g, '\\d+(?:-\\d+)?'))),
+  lambda i: CASE WHEN contains(i, '-') THEN (CASE WHEN length(i) > 18 THEN []::BIGINT[] ELSE range(CAST(split_part(i, '-', 1) AS BIGINT), CAST(split_part(i, '-', 2) AS BIGINT) + 1) END) ELSE [CAST(i AS BIGINT)] END)))), ',') AS numbers,
   length(regexp_replace(text, ' ?\\[\\d+(?:-\\d+)?(?:, ?\\d+(?:-\\d+)?)*\\]', '', 'g')) AS n_left
 FROM documents WHERE regexp_matches(text, '\\[\\d+(?:-\\d+)?(?:, ?\\d+(?:-\\d+)?)*\\]')
 """)
@@ -38,8 +38,8 @@ def bracket_citations(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT l_orderkey, l_linenumber, 'Holds [Doc ' || (l_partkey % 9 + 1) || ', ' || (l_suppkey % 7 + 1) || ' and ' || (l_linenumber % 5 + 1) || '] [' || (l_partkey % 4) || '-' || (l_linenumber % 6) || '].' AS t FROM lineitem),
 n AS (SELECT *, replace(replace(t, ', and', ','), ' and', ',') AS u FROM s)
-SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(flatten(list_transform(flatten(list_transform(list_concat(regexp_extract_all(u, 'Doc\\s(\\d+(?:-\\d+)?(?:,\\s\\d+)*)', 1), regexp_extract_all(u, '\\[(\\d+(?:-\\d+)?(?:,\\s\\d+)*)\\]', 1)), g -> string_split(g, ', '))),
-  i -> CASE WHEN contains(i, '-') THEN range(CAST(split_part(i, '-', 1) AS BIGINT), CAST(split_part(i, '-', 2) AS BIGINT) + 1) ELSE [CAST(i AS BIGINT)] END)))), ',') AS numbers,
+SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(flatten(list_transform(flatten(list_transform(list_concat(regexp_extract_all(u, 'Doc\\s(\\d+(?:-\\d+)?(?:,\\s\\d+)*)', 1), regexp_extract_all(u, '\\[(\\d+(?:-\\d+)?(?:,\\s\\d+)*)\\]', 1)), lambda g: string_split(g, ', '))),
+  lambda i: CASE WHEN contains(i, '-') THEN range(CAST(split_part(i, '-', 1) AS BIGINT), CAST(split_part(i, '-', 2) AS BIGINT) + 1) ELSE [CAST(i AS BIGINT)] END)))), ',') AS numbers,
   regexp_replace(t, ' \\[.*?\\]', '', 'g') AS bare
 FROM n
 """)
@@ -115,7 +115,7 @@ def consecutive_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS hash FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), s -> regexp_replace(s, '^[\\s\\x{00A0}\\x{0085}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x0B]+|[\\s\\x{00A0}\\x{0085}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x0B]+$', '', 'g')), s -> s <> '') AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS hash FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^[\\s\\x{00A0}\\x{0085}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x0B]+|[\\s\\x{00A0}\\x{0085}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x0B]+$', '', 'g')), lambda s: s <> '') AS l FROM documents WHERE text IS NOT NULL)
 """)
 def line_split(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.lines(F.col("text")).alias("l"))
@@ -133,8 +133,8 @@ def page_contents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT l_orderkey, list('part ' || l_partkey ORDER BY l_linenumber) AS s FROM lineitem GROUP BY 1)
-SELECT l_orderkey, array_to_string(list_transform(s, (x, i) -> '[' || i || ']: ' || x), chr(10)) AS numbered, array_to_string(list_transform(s, (x, i) -> '[Doc ' || i || ']: ' || x), chr(10)) AS docs,
+WITH g AS (SELECT l_orderkey, list('part ' || l_partkey ORDER BY l_linenumber, 'part ' || l_partkey) AS s FROM lineitem GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_transform(s, lambda x, i: '[' || i || ']: ' || x), chr(10)) AS numbered, array_to_string(list_transform(s, lambda x, i: '[Doc ' || i || ']: ' || x), chr(10)) AS docs,
 'Answer in ENGLISH: ' || s[1] AS prompt, sha256('sys' || s[1]) AS prompt_hash FROM g
 """)
 def prompt_strings(spark: SparkSession, d: str) -> DataFrame:
@@ -198,8 +198,7 @@ def catalogue_strings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1)
-SELECT l.l_orderkey, CAST(l.l_linenumber AS INTEGER) AS paragraph_id, 'Part ' || l.l_partkey || ' of the order.' AS paragraph FROM lineitem l JOIN d ON l.l_orderkey = d.l_orderkey WHERE l.l_linenumber = (SELECT count(*) FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber <= l.l_linenumber)
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'Part ' || l_partkey) AS INTEGER) AS paragraph_id, 'Part ' || l_partkey || ' of the order.' AS paragraph FROM lineitem
 """)
 def guide_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(" of the order."))
@@ -225,7 +224,7 @@ def error_categories(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT DISTINCT guide_id, paragraph_id, errors FROM citation_extractions WHERE errors IS NOT NULL AND json_valid(errors)),
-r AS (SELECT guide_id, paragraph_id, list_sort(list_distinct(list_transform(from_json(errors, '["VARCHAR"]'), m -> trim(regexp_replace(m, '[0-9(].*$', ''))))) AS kinds FROM e WHERE json_array_length(errors) > 0)
+r AS (SELECT guide_id, paragraph_id, list_sort(list_distinct(list_transform(from_json(errors, '["VARCHAR"]'), lambda m: trim(regexp_replace(m, '[0-9(].*$', ''))))) AS kinds FROM e WHERE json_array_length(errors) > 0)
 SELECT array_to_string(kinds, ' + ') AS combination, count(*) AS n, min(guide_id || '/' || paragraph_id) AS example FROM r GROUP BY 1
 """)
 def error_combinations(spark: SparkSession, d: str) -> DataFrame:
