@@ -9,10 +9,12 @@ few; only these, once for each cell that wants them, are fetched whole and ranke
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,11 @@ def _floats(column: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float32).reshape(-1, dim)
 
 
+def _within(times: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each number of times."""
+    return np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+
+
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k greatest of each row, unordered."""
     return np.broadcast_to(np.arange(scores.shape[1]), scores.shape) if scores.shape[1] <= k else np.argpartition(-scores, k - 1, axis=1)[:, :k]
@@ -151,20 +158,31 @@ def neighbours(vectors: DataFrame, k: int = 5, id_col: str = "query", vector_col
         for c in near.tolist():
             if sizes[c]:
                 plan[c].append((home, blocks, chunks))
-    plan_shared = spark.sparkContext.broadcast((plan, {h: (b, c) for h, b, c in split}))
+    routes = [r for c in range(cells) for r in plan[c]]
+    n_routes = np.array([len(plan[c]) for c in range(cells)], dtype=np.int64)
+    plan_shared = spark.sparkContext.broadcast((np.array(routes, dtype=np.int64).reshape(-1, 3), n_routes, {h: (b, c) for h, b, c in split}))
 
-    def send(batches):  # noqa: ANN001, ANN202
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Codes to every group that searches them."""
-        routes, _ = plan_shared.value
-        for pdf in batches:
-            for cell, rows in pdf.groupby("cell", sort=False):
-                for home, blocks, chunks in routes[int(cell)]:
-                    for block in range(blocks):
-                        yield rows.assign(home=home, block=block, chunk=rows["vid"] % chunks)[["home", "block", "chunk", "vid", "cell", "code"]]
+        route, times, _ = plan_shared.value
+        begin = np.cumsum(times) - times
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            row = np.repeat(np.arange(len(cell)), times[cell])
+            way = begin[cell[row]] + _within(times[cell])
+            blocks = route[way, 1]
+            block = _within(blocks)
+            row, way = np.repeat(row, blocks), np.repeat(way, blocks)
+            vid = batch.column("vid").to_numpy()[row]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(route[way, 0].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array((vid % route[way, 2]).astype(np.int32)), pa.array(vid), batch.column("cell").take(at), batch.column("code").take(at)],
+                names=["home", "block", "chunk", "vid", "cell", "code"],
+            )
 
     def ask(batches):  # noqa: ANN001, ANN202
         """Queries to every chunk of their own cell's search."""
-        _, groups = plan_shared.value
+        groups = plan_shared.value[2]
         for pdf in batches:
             blocks = pdf["cell"].map(lambda c: groups[c][0])
             chunks = pdf["cell"].map(lambda c: groups[c][1])
@@ -196,7 +214,7 @@ def neighbours(vectors: DataFrame, k: int = 5, id_col: str = "query", vector_col
 
     group = ["home", "block", "chunk"]
     queries = coded.select("vid", "cell", "v").mapInPandas(ask, "home int, block int, chunk int, vid long, v binary").groupBy(*group)
-    codes = coded.select("vid", "cell", "code").mapInPandas(send, "home int, block int, chunk int, vid long, cell int, code binary").groupBy(*group)
+    codes = coded.select("vid", "cell", "code").mapInArrow(send, "home int, block int, chunk int, vid long, cell int, code binary").groupBy(*group)
     candidates = stored(queries.cogroup(codes).applyInPandas(search, "home int, block int, vid long, v binary, found array<long>"))
     wanted = candidates.where("vid IS NULL").select(F.col("home").alias("h"), F.col("block").alias("b"), F.explode("found").alias("vid"))
     fetched = wanted.join(coded.select("vid", "v"), "vid").select("h", "b", "vid", F.col("v").alias("whole"))
