@@ -82,8 +82,8 @@ def all_or_nothing(wanted: DataFrame, there: DataFrame, owner: str, keys: list[s
 
 
 def missing_names(judgements: DataFrame, meta: DataFrame) -> DataFrame:
-    """case_id and name of cases without one, from metadata (url, data JSON): the name of the version of that id, else English, French, any."""
-    cases = judgements.groupBy("case_id").agg(F.max("case_name").alias("known")).where("known IS NULL AND case_id IS NOT NULL").select("case_id")
+    """case_id and name of cases with rows that lack it, from metadata (url, data JSON): the name of the version of that id, else English, French, any."""
+    cases = judgements.where("case_name IS NULL AND case_id IS NOT NULL").select("case_id").distinct()
     versions = F.from_json(F.get_json_object("data", "$.lang_versions"), "map<string,struct<id:string,docname:string>>")
     flat = meta.select(versions.alias("v")).where("v IS NOT NULL").select("v", F.explode("v").alias("lang", "one")).select(F.trim("one.id").alias("case_id"), F.col("lang"), F.col("one.docname").alias("docname")).where("docname IS NOT NULL")
     order = F.when(F.col("lang") == "eng", 0).when(F.col("lang") == "fre", 1).otherwise(2)
