@@ -132,6 +132,8 @@ class Endings:
     def complete(self, text: str) -> float:
         """How surely the text, what was put after it left away, ends with a sentence, a list or the like: 0 to 1."""
         text = core(text)
+        if footer := FOOTER.search(text):
+            text = core(text[: footer.start()]) or text
         if not text:
             return 1.0
         if self.unclosed(text):
@@ -176,6 +178,8 @@ OPENS = "([{<“„«「（【\x22"[:-1]
 CLOSES = {")": "(", "]": "[", "}": "{", ">": "<", "”": "“„", "“": "„", "»": "«", "」": "「", "）": "（", "】": "【"}
 # What is put after a cut, and notes after a sentence.
 PUT_AFTER = regex.compile(r"(?:\s|</?\w*[^<>]*>|</?\w{0,10}$|&hellip;|…|\.{3,}|\[(?:\.{2,}|…)\]|\((?:\.{3}|…|(?i:more|continued|truncated|suite|cut|tronqué|continuare)[^()]{0,12})\)|\[(?i:more|continued|truncated|suite|cut|tronqué)[^\[\]]{0,20}\]|(?i:read more|lire la suite|citește mai mult)\W*|[\u200b-\u200f\ufeff\u0000-\u001f\ufffd])+$")
+# Lines that close an extract.
+FOOTER = regex.compile(r"\n\s*\n\s*(?:[（(\[【][^\n（）()\[\]]{1,60}[）)\]】]|[—–-]{1,3}[^\n]{1,60}[—–-]{1,3}|(?:\*\s*){1,5}|以上)\s*$")
 NOTES = regex.compile(r"(?<=[.!?。！？»”])(?:\[\d+\]|[¹²³⁴-⁹])+$")
 
 
