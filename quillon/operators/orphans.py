@@ -21,7 +21,7 @@ from ..session import spread, stored
 from .nested import Citations, _lookup, answer_citations, blocks, languages, list_citations
 
 #: Keys sampled for the bounds of ranges, ranges at most, references in a part of a range, about.
-SAMPLED, RANGES, PART = 8192, 1024, 400_000
+SAMPLED, RANGES, PART = 8192, 1024, 150_000
 REFERENCE = "src_table string, guide_id string, unit_id string, grouping_method string, model_name string, ref_field string, ref_key string, cited_at timestamp_ntz, period string"
 
 

@@ -76,3 +76,34 @@ class SqliteSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _SqliteReader(schema, dict(self.options))
+
+
+def load_csv_tables(spark: SparkSession, folder: str, schema: str, prefix: str = "e_") -> list[str]:
+    """Each CSV file of the folder as a table of its name, replaced; gives the names."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.csv").load(folder).select("path").collect()  # file names only
+    names = []
+    for row in rows:
+        name = row["path"].rsplit("/", 1)[1][:-4]
+        read_csv(spark, row["path"], schema).write.mode("overwrite").saveAsTable(name)
+        names.append(name)
+    return sorted(names)
+
+
+def discover(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """Parquet data partitioned as `key=value/`, or else with the folder's name of each file as key."""
+    df = spark.read.option("basePath", folder).parquet(folder)
+    return df if key in df.columns else df.withColumn(key, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+
+def existing_or_base(spark: SparkSession, result: str, base: str) -> DataFrame:
+    """The table at result if it can be read, else that at base."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(result)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(result if there else base)
+
+
+def batch_results(requests: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Requests (request_id, ...) with the response of a batch job's JSON lines (value); lines that can't be read are skipped."""
+    parsed = predictions.select(F.from_json("value", "request_id string, response string").alias("p")).where("p.request_id IS NOT NULL")
+    once = parsed.groupBy(F.col("p.request_id").alias("request_id")).agg(F.max("p.response").alias("response"))
+    return requests.join(once, requests["request_id"].cast("string") == once["request_id"], "left").drop(once["request_id"])
