@@ -30,7 +30,7 @@ def _one_pass(tasks: DataFrame, metadata: DataFrame, provider: CompletionProvide
     wrong = (F.col("c.citation_year") > 0) & (year_of(F.col("kpdate")) > 0) & (F.col("c.citation_year") != year_of(F.col("kpdate")))
     codes = F.filter(F.array(F.when(F.col("m_url").isNull(), "no_metadata"), F.when(wrong, "year_mismatch"), F.when(F.coalesce(F.size("c.citation_paragraphs"), F.lit(0)) <= 0, "no_paragraphs")), lambda e: e.isNotNull())
     built = F.struct("s", "i", F.col("c.citation_url").alias("original_url"), F.coalesce("c.citation_year", year_of(F.col("kpdate"))).alias("citation_year"), "c.citation_tags", "c.citation_paragraphs", F.col("kpdate").alias("citation_date"), F.coalesce("multilingual", F.create_map().cast("map<string,struct<id:string,docname:string>>")).alias("multilingual"), codes.alias("codes"))
-    per = found.groupBy("guide_id", "paragraph_id").agg(F.sort_array(F.collect_list(built)).alias("citations"))
+    per = found.groupBy("guide_id", "paragraph_id").agg(F.array_sort(F.collect_list(built), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["i"] - b["i"])).alias("citations"))
     whole = base.join(per, ["guide_id", "paragraph_id"], "left")
     links = F.filter(F.transform(paragraph_links(F.col("paragraph_text")), normal_url), lambda u: u.startswith("https://"))
     urls = F.coalesce(F.transform("citations", lambda c: c["original_url"]), F.array().cast("array<string>"))
