@@ -243,13 +243,14 @@ def tiered_fetch(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH w AS (SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice FROM lineitem), t AS (SELECT p_partkey, p_retailprice AS v FROM part WHERE p_partkey % 7 <> 0)
-SELECT l_orderkey, CASE WHEN bool_and(t.p_partkey IS NOT NULL) THEN count(*) END AS n_found, CASE WHEN bool_and(t.p_partkey IS NOT NULL) THEN round(sum(v), 2) END AS total FROM w LEFT JOIN t ON t.p_partkey = w.l_partkey GROUP BY 1
+SELECT l_orderkey, bool_and(t.p_partkey IS NOT NULL) AS whole, CASE WHEN bool_and(t.p_partkey IS NOT NULL) THEN count(*) ELSE 0 END AS n_found, CASE WHEN bool_and(t.p_partkey IS NOT NULL) THEN round(sum(v), 2) ELSE 0.0 END AS total FROM w LEFT JOIN t ON t.p_partkey = w.l_partkey GROUP BY 1
 """)
 def all_or_nothing_lookup(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("ord"))
     there = table(spark, d, "part").where("p_partkey % 7 <> 0").select("p_partkey", "p_retailprice")
     v = C.all_or_nothing(w, there, "l_orderkey", ["p_partkey"], "p_retailprice")
-    return v.select("l_orderkey", F.when(F.col("values").isNotNull(), F.size("values").cast("bigint")).alias("n_found"), F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
+    total = F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 2)
+    return v.select("l_orderkey", F.col("values").isNotNull().alias("whole"), F.when(F.col("values").isNotNull(), F.size("values")).otherwise(0).cast("bigint").alias("n_found"), F.coalesce(total, F.lit(0.0)).alias("total"))
 
 
 @query("""
