@@ -20,6 +20,8 @@ FINAL = set(".!?…。！？｡।॥؟۔")
 CLOSING = set(")]}»”“\"'’」』）】›*_")
 #: Occurrences of a token from which it stands for itself, of a context from which it counts, tokens in a context.
 KNOWN, SEEN, LONGEST = 8, 4, 5
+#: Share of all tokens from which a word in capitals stands for itself; rarer ones are names.
+NAMED = 0.0003
 
 
 def tokens(text: str) -> list[str]:
@@ -31,6 +33,8 @@ class Endings:
         self.words: Counter = Counter()
         self.all: Counter = Counter()
         self.end: Counter = Counter()
+        self.pause: Counter = Counter()
+        self.common = KNOWN
         self.last: Counter = Counter()
         self.sorted: list[str] = []
 
@@ -41,7 +45,7 @@ class Endings:
             return "0"
         if len(token) == 1 and not SINGLE.match(token):
             return token if not token.isupper() else "A"
-        if self.words.get(token, 0) >= KNOWN:
+        if self.words.get(token, 0) >= (self.common if token[0].isupper() else KNOWN):
             return token
         return "Xx" if token[0].isupper() else "xx"
 
@@ -54,6 +58,7 @@ class Endings:
             self.words.update(ts)
             if ts:
                 self.last[ts[-1]] += 1
+        self.common = max(KNOWN, int(NAMED * sum(self.words.values())))
         self.sorted = sorted(w for w, n in self.words.items() if n >= KNOWN)
         for ts in split:
             shapes = [self.shape(t) for t in ts]
@@ -74,14 +79,20 @@ class Endings:
                     self.all[context] += 1
                     if ends:
                         self.end[context] += 1
+                    elif after in ",;":
+                        self.pause[context] += 1
                     if shapes[i - k] == "\n":
                         break
         self.all = Counter({c: n for c, n in self.all.items() if n >= SEEN})
         self.end = Counter({c: n for c, n in self.end.items() if c in self.all})
+        self.pause = Counter({c: n for c, n in self.pause.items() if c in self.all})
         return self
 
     def chance(self, text: str, least: int = SEEN) -> float:
-        """The share of such endings that are ends, by the longest context that was seen often enough."""
+        """The share of such endings that are ends, by the longest context that was seen often enough.
+
+        Where a sentence may end but a clause follows as often, pauses count too.
+        """
         ts = tokens(text)[-LONGEST:]
         if not ts:
             return 1.0
@@ -95,8 +106,19 @@ class Endings:
             if n < least:
                 break
             found = (self.end.get(context, 0) + 0.02) / (n + 0.04)
+            if 0.15 <= found:
+                found = max(found, 0.9 * (self.end.get(context, 0) + self.pause.get(context, 0)) / n)
         return found
 
+    def _goes_on(self, before: str, token: str) -> bool:
+        """Whether a longer word that begins with the token was seen after the shape before it."""
+        i = bisect_right(self.sorted, token)
+        while i < len(self.sorted) and self.sorted[i].startswith(token):
+            if f"{before} {self.sorted[i]} " in self.all:
+                return True
+            i += 1
+        return False
+
     def rare(self, token: str) -> bool:
         """Whether the token is, as a rule, the beginning of a word: a rare one in small letters, or one that hardly stands elsewhere than last and begins a more frequent one."""
         if SINGLE.match(token) or not token[0].isalpha():
