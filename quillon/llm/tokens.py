@@ -143,7 +143,7 @@ def corpus_budget(docs: DataFrame, pairs: DataFrame, guides: DataFrame, folder:
     make a key of their own.
     """
     g = guides.select(F.col("guide_id").alias("g"), F.col("source").alias("g_source"), F.col("topic").alias("g_topic"), language(F.col("lang_code")).alias("g_lang")).dropDuplicates(["g"])
-    d = docs.select("guide_id", F.col("source").alias("own_source"), language(F.col("lang")).alias("own_lang"), F.col("topic").alias("own_topic"), "text").where(F.col("text").isNotNull())
+    d = spread(docs.where(F.col("text").isNotNull()).select("guide_id", F.col("source").alias("own_source"), language(F.col("lang")).alias("own_lang"), F.col("topic").alias("own_topic"), "text"))
     d = d.join(g, F.col("guide_id") == F.col("g"), "left").select(
         F.lit("document").alias("kind"), F.coalesce("own_source", "g_source").alias("source"), F.coalesce("own_lang", "g_lang").alias("lang"), F.coalesce("own_topic", "g_topic").alias("topic"), "text",
     )
