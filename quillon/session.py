@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,13 +43,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Operators that bring a shuffle, after which the number of partitions is chosen at run time.
+_SHUFFLING = re.compile(r"(?m)^[\s:+\-|]*(?:Aggregate|Join|Repartition\w*|Rebalance\w*|Window\w*|Sort|GlobalLimit|LocalLimit|Distinct|Deduplicate\w*|Intersect|Except)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores; df itself when its scan already has them.
+    """df in at least as many partitions as there are cores; df itself when its scan has them or it comes from a shuffle.
 
-    For scans feeding Python work: a table of one small file would otherwise occupy one core.
+    For scans feeding Python work: a table of one small file would otherwise occupy one core. Counting partitions runs
+    nothing, as plans with a shuffle are left alone.
     """
+    execution = df._jdf.queryExecution()
+    if _SHUFFLING.search(execution.optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if execution.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
