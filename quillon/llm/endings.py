@@ -20,6 +20,8 @@ FINAL = set(".!?…。！？｡।॥؟۔")
 CLOSING = set(")]}»”“\"'’」』）】›*_")
 #: Occurrences of a token from which it stands for itself, of a context from which it counts, tokens in a context.
 KNOWN, SEEN, LONGEST = 8, 4, 5
+#: Characters looked at first, from the end; more where they don't do.
+WINDOW = 240
 #: Share of all tokens from which a word in capitals stands for itself; rarer ones are names.
 NAMED = 0.0003
 
@@ -28,6 +30,15 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text)
 
 
+def last_tokens(text: str) -> list[str]:
+    """The last LONGEST tokens."""
+    start = max(0, len(text) - WINDOW)
+    ts = tokens(text[start:])
+    if start and len(ts) <= LONGEST:  # the first may have been cut
+        ts = tokens(text)
+    return ts[-LONGEST:]
+
+
 class Endings:
     def __init__(self) -> None:
         self.words: Counter = Counter()
@@ -93,7 +104,7 @@ class Endings:
 
         Where a sentence may end but a clause follows as often, pauses count too.
         """
-        ts = tokens(text)[-LONGEST:]
+        ts = last_tokens(text)
         if not ts:
             return 1.0
         if self.rare(ts[-1]):
@@ -139,9 +150,8 @@ class Endings:
     @staticmethod
     def unclosed(text: str) -> bool:
         """Whether the last block opens a bracket, a quotation or a tag that it doesn't close."""
-        block = text[max(text.rfind("\n\n"), 0) :]
         stack: list[str] = []
-        for c in block:
+        for c in BRACKETS.findall(text, max(text.rfind("\n\n"), 0)):
             if c in CLOSES:
                 if stack and stack[-1] in CLOSES[c]:
                     stack.pop()
@@ -154,7 +164,7 @@ class Endings:
     def complete(self, text: str) -> float:
         """How surely the text, what was put after it left away, ends with a sentence, a list or the like: 0 to 1."""
         text = core(text)
-        if footer := FOOTER.search(text):
+        if footer := FOOTER.search(text, max(0, len(text) - WINDOW)):
             text = core(text[: footer.start()]) or text
         if not text:
             return 1.0
@@ -169,18 +179,19 @@ class Endings:
             stem = bare[:-1]
             if stem[-1:].isdigit():
                 return min(1.0, 4 * self.chance(stem))
-            word = regex.search(r"[\p{L}.\-']*$", stem)[0].lower()
-            if not stem[: -len(word)].strip() and word.isalpha():
+            end = stem[-WINDOW:]
+            word = LAST_WORD.search(end)[0].lower()
+            if not stem[: len(stem) - len(word)].strip() and word.isalpha():
                 return 1.0  # a single word: "No."
-            if word in ABBREVIATIONS or regex.search(r"(?:^|[\s(])\p{L}$", stem):
-                return 1.0 if word == "no" and regex.search(r"\b(?:was|is|be) no$", stem) else 0.0
+            if word in ABBREVIATIONS or LAST_LETTER.search(" " + end if len(end) == len(stem) else end):
+                return 1.0 if word == "no" and ANSWERED_NO.search(end) else 0.0
             return 1.0
         if bare[-1] in ",;:-–(" or bare[-1] in "/=&<":
             return 0.0
-        if regex.search(r"[\p{L}']*$", bare)[0].lower() in DANGLING:
+        if LAST_WORD.search(bare[-WINDOW:])[0].lower().strip(".-") in DANGLING:
             return 0.0
         line = bare[bare.rfind("\n") + 1 :]
-        tail_ = tokens(line)[-1:]
+        tail_ = last_tokens(line)[-1:]
         if "\n" in bare and tail_ and not self.rare(tail_[0]) and (LABELLED.fullmatch(line) or SIGNED.search(bare)):
             return 0.9
         if "\n\n" in bare and DATED.fullmatch(line):
@@ -198,6 +209,8 @@ DANGLING = set("the a an of to and or that which by with for from because as at
 ABBREVIATIONS = set("no nos nr nº art arts v vs c p pp para paras pct vol t bd s abs lit alin cf vgl sec al mr mrs ms dr mm mme st dl dna dlui bldg i.v.m п ст т г-н им डॉ पृ i.e e.g d.h z.b".split())
 OPENS = "([{<“„«「（【\x22"[:-1]
 CLOSES = {")": "(", "]": "[", "}": "{", ">": "<", "”": "“„", "“": "„", "»": "«", "」": "「", "）": "（", "】": "【"}
+LAST_WORD, LAST_LETTER, ANSWERED_NO = regex.compile(r"(?r)[\p{L}.\-']*$"), regex.compile(r"[\s(]\p{L}$"), regex.compile(r"\b(?:was|is|be) no$")
+BRACKETS = regex.compile("[" + regex.escape("".join({*OPENS, *CLOSES})) + "]", regex.VERSION0)
 # What is put after a cut, and notes after a sentence.
 PUT_AFTER = regex.compile(r"(?:\s|</?\w*[^<>]*>|</?\w{0,10}$|&hellip;|…|\.{3,}|\[(?:\.{2,}|…)\]|\((?:\.{3}|…|(?i:more|continued|truncated|suite|cut|tronqué|continuare)[^()]{0,12})\)|\[(?i:more|continued|truncated|suite|cut|tronqué)[^\[\]]{0,20}\]|(?i:read more|lire la suite|citește mai mult)\W*|[\u200b-\u200f\ufeff\u0000-\u001f\ufffd])+$")
 # Lines that close an extract.
@@ -209,5 +222,18 @@ def core(text: str) -> str:
     """The text without what is put after a cut or a sentence."""
     before = None
     while before != text:
-        before, text = text, NOTES.sub("", PUT_AFTER.sub("", text))
+        before, text = text, _without(NOTES, _without(PUT_AFTER, text))
     return text
+
+
+def _without(pattern: regex.Pattern, text: str) -> str:
+    """The text without the end that matches, looked for from the end."""
+    window = WINDOW
+    while True:
+        start = max(0, len(text) - window)
+        found = pattern.search(text, start)
+        if not found:
+            return text
+        if found.start() > start or not start:
+            return text[: found.start()]
+        window *= 4
