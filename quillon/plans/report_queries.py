@@ -153,7 +153,7 @@ def pipeline_counters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH f AS (SELECT grouping_method, model_name, min(guide_id || '/' || group_id) AS first_key, count(*) AS n FROM question_generations WHERE model_name IS NOT NULL GROUP BY 1, 2)
-SELECT split_part(model_name, '-', 1) AS family, count(DISTINCT model_name) AS n_models, sum(n) AS n, min(first_key) AS first_key FROM f GROUP BY 1 HAVING count(DISTINCT model_name) >= 2
+SELECT split_part(model_name, '-', 1) AS family, count(DISTINCT model_name) AS n_models, CAST(sum(n) AS BIGINT) AS n, min(first_key) AS first_key FROM f GROUP BY 1 HAVING count(DISTINCT model_name) >= 2
 """)
 def model_families(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "question_generations").where("model_name IS NOT NULL")
@@ -196,7 +196,7 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 WITH old AS (SELECT case_id, paragraph_number, paragraph_text FROM judgements WHERE recently_parsed IS NULL AND case_id IS NOT NULL),
 fresh AS (SELECT case_id, paragraph_number, paragraph_text FROM judgements WHERE recently_parsed IS NOT NULL AND case_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id, paragraph_number ORDER BY created_at ASC NULLS LAST, paragraph_text ASC NULLS LAST) = 1),
 a AS (SELECT * FROM old UNION ALL SELECT f.* FROM fresh f ANTI JOIN old o ON o.case_id = f.case_id AND o.paragraph_number = f.paragraph_number)
-SELECT case_id, count(*) AS n, count(DISTINCT paragraph_number) AS n_numbers, sum(length(paragraph_text)) AS n_chars FROM a GROUP BY 1
+SELECT case_id, count(*) AS n, count(DISTINCT paragraph_number) AS n_numbers, CAST(sum(length(paragraph_text)) AS BIGINT) AS n_chars FROM a GROUP BY 1
 """)
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "judgements").where("case_id IS NOT NULL").select("case_id", "paragraph_number", "paragraph_text", "recently_parsed", "created_at")
@@ -267,7 +267,7 @@ def citation_set_diff(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH u AS (SELECT regexp_extract(m, '(\\d{3}-\\d+)', 1) AS id, count(*) AS n FROM (SELECT unnest(regexp_extract_all(answer, '"eng[\\\\]*": [{][\\\\]*"id[\\\\]*": [\\\\]*" *\\d{3}-\\d+')) AS m FROM question_generations) GROUP BY 1),
 k AS (SELECT u.*, e._id IS NOT NULL AS there, j.case_id IS NOT NULL AS parsed FROM u LEFT JOIN (SELECT DISTINCT _id FROM echr_documents) e ON e._id = u.id LEFT JOIN (SELECT DISTINCT case_id FROM judgements) j ON j.case_id = u.id)
-SELECT count(*) AS n_ids, sum(n) AS n_references, count(*) FILTER (there) AS n_there, count(*) FILTER (parsed) AS n_parsed, round(100.0 * count(*) FILTER (NOT there) / greatest(count(*), 1), 6) AS percent_missing, min(id) FILTER (NOT there) AS first_missing FROM k
+SELECT count(*) AS n_ids, CAST(sum(n) AS BIGINT) AS n_references, count(*) FILTER (there) AS n_there, count(*) FILTER (parsed) AS n_parsed, round(100.0 * count(*) FILTER (NOT there) / greatest(count(*), 1), 6) AS percent_missing, min(id) FILTER (NOT there) AS first_missing FROM k
 """)
 def availability_stats(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "question_generations").select(F.explode(F.regexp_extract_all("answer", F.lit(r'"eng[\\]*": [{][\\]*"id[\\]*": [\\]*" *(\d{3}-\d+)'), 1)).alias("id"))
@@ -328,7 +328,7 @@ def valid_citation_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT guide_id, group_id, rank FROM (SELECT guide_id, group_id, row_number() OVER (PARTITION BY guide_id ORDER BY md5('112' || guide_id || '/' || group_id), group_id) AS rank, guide_rank FROM (SELECT DISTINCT guide_id, group_id FROM question_generations WHERE guide_id IS NOT NULL) g JOIN
+SELECT guide_id, group_id, CAST(rank AS INTEGER) AS rank FROM (SELECT guide_id, group_id, row_number() OVER (PARTITION BY guide_id ORDER BY md5('112' || guide_id || '/' || group_id), group_id) AS rank, guide_rank FROM (SELECT DISTINCT guide_id, group_id FROM question_generations WHERE guide_id IS NOT NULL) g JOIN
  (SELECT guide_id AS gg, row_number() OVER (ORDER BY md5('112' || guide_id)) AS guide_rank FROM (SELECT DISTINCT guide_id FROM question_generations WHERE guide_id IS NOT NULL)) r ON gg = guide_id) WHERE rank <= 10 AND guide_rank <= 15
 """)
 def seeded_group_sample(spark: SparkSession, d: str) -> DataFrame:
