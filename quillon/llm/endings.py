@@ -210,7 +210,7 @@ ABBREVIATIONS = set("no nos nr nº art arts v vs c p pp para paras pct vol t bd
 OPENS = "([{<“„«「（【\x22"[:-1]
 CLOSES = {")": "(", "]": "[", "}": "{", ">": "<", "”": "“„", "“": "„", "»": "«", "」": "「", "）": "（", "】": "【"}
 LAST_WORD, LAST_LETTER, ANSWERED_NO = regex.compile(r"(?r)[\p{L}.\-']*$"), regex.compile(r"[\s(]\p{L}$"), regex.compile(r"\b(?:was|is|be) no$")
-BRACKETS = regex.compile("[" + regex.escape("".join({*OPENS, *CLOSES})) + "]", regex.VERSION0)
+BRACKETS = regex.compile("<(?=[A-Za-z/!])|[" + regex.escape("".join(sorted({*OPENS, *CLOSES} - {"<"}))) + "]", regex.VERSION0)
 # What is put after a cut, and notes after a sentence.
 PUT_AFTER = regex.compile(r"(?:\s|</?\w*[^<>]*>|</?\w{0,10}$|&hellip;|…|\.{3,}|\[(?:\.{2,}|…)\]|\((?:\.{3}|…|(?i:more|continued|truncated|suite|cut|tronqué|continuare)[^()]{0,12})\)|\[(?i:more|continued|truncated|suite|cut|tronqué)[^\[\]]{0,20}\]|(?i:read more|lire la suite|citește mai mult)\W*|[\u200b-\u200f\ufeff\u0000-\u001f\ufffd])+$")
 # Lines that close an extract.
