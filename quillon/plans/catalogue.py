@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import report_queries, text_queries
+from . import evaluation_queries, report_queries, text_queries
 
-_MODULES = (text_queries, report_queries)
+_MODULES = (text_queries, report_queries, evaluation_queries)
 
 
 def queries() -> dict:
