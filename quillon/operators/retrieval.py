@@ -27,14 +27,16 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
     """The k best vectors of each query: (query_id, vec_id, rank int, score double); exact.
 
     queries and vectors have (id, embedding). score is the cosine (best: greatest) or the squared distance (best: least);
-    ties go to the lower id; a query is not its own answer. A zero vector has cosine 0; null vectors take no part.
+    ties go to the lower id; a query is not its own answer. A zero vector has cosine 0; vectors that are null, of another
+    dimension than the queries or hold nulls or NaN take no part.
     Queries are cut into blocks and sent to each partition of the vectors; each gives its own k best, of which the best
     k are kept. What is sent is a block of QUERY_BLOCK queries, never a table.
     """
     spark = vectors.sparkSession
     best = None
-    numbered = queries.where("embedding IS NOT NULL").select(F.col("id").alias("query_id"), "embedding")
-    whole = vectors.where("embedding IS NOT NULL").select(F.col("id").alias("vec_id"), "embedding")
+    sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    numbered = queries.where(sound).select(F.col("id").alias("query_id"), "embedding")
+    whole = vectors.where(sound).select(F.col("id").alias("vec_id"), "embedding")
 
     def scan(block: list[tuple]):  # noqa: ANN202
         ids = np.array([b[0] for b in block], dtype=np.int64)
@@ -61,10 +63,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
                 out = pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "vec_id": vid[order].ravel(), "score": s.ravel()})
                 yield out[np.isfinite(out["score"])]
 
-        return whole.mapInPandas(run, "query_id long, vec_id long, score double")
+        return whole.where(F.size("embedding") == asked.shape[1]).mapInPandas(run, "query_id long, vec_id long, score double")
 
     block: list[tuple] = []
     for row in numbered.toLocalIterator():
+        if block and len(row[1]) != len(block[0][1]):
+            raise ValueError("queries of different dimensions")
         block.append((row[0], row[1]))
         if len(block) == QUERY_BLOCK:
             best, block = scan(block) if best is None else best.unionByName(scan(block)), []

@@ -79,7 +79,7 @@ def test_retrieval_metrics(spark):
 
 
 def test_top_k_ties_zero_and_null(spark):
-    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None)], "id long, embedding array<double>")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0]), (7, [float("nan"), 1.0])], "id long, embedding array<double>")
     got = [(r["vec_id"], r["rank"], round(r["score"], 6)) for r in top_k(v.where("id = 1"), v, 3).orderBy("rank").collect()]
     assert got == [(2, 1, 1.0), (3, 2, 1.0), (4, 3, 0.0)]
     assert top_k(v.limit(0), v, 3).count() == 0
