@@ -47,6 +47,7 @@ class Endings:
         self.pause: Counter = Counter()
         self.common = KNOWN
         self.last: Counter = Counter()
+        self.again: Counter = Counter()
         self.sorted: list[str] = []
 
     def shape(self, token: str) -> str:
@@ -61,20 +62,32 @@ class Endings:
         return "Xx" if token[0].isupper() else "xx"
 
     @classmethod
-    def fit(cls, texts: Iterable[str]) -> Endings:
-        """Texts: a sample, some of which may break off."""
+    def fit(cls, texts: Iterable[str], doubtful: Iterable[str] = ()) -> Endings:
+        """Texts: a sample, some of which may break off.
+
+        Texts that end in the same tokens count once as an end, and their last word once as a word of its own: however
+        often a text that breaks off is copied, it doesn't teach its own ending. Doubtful texts' ends teach nothing.
+        """
         self = cls()
-        split = [tokens(core(x)) for x in texts]
-        for ts in split:
+        split, ended = [], []
+        endings: set[tuple[str, ...]] = set()
+        for text, sure in [*((t, True) for t in texts), *((t, False) for t in doubtful)]:
+            ts = tokens(core(text))
+            ending = tuple(ts[-LONGEST:])
+            new = bool(ts) and ending not in endings
+            endings.add(ending)
             self.words.update(ts)
             if ts:
                 self.last[ts[-1]] += 1
+                self.again[ts[-1]] += not new
+            split.append(ts)
+            ended.append(new and sure)
         self.common = max(KNOWN, int(NAMED * sum(self.words.values())))
         self.sorted = sorted(w for w, n in self.words.items() if n >= KNOWN)
-        for ts in split:
+        for ts, counts in zip(split, ended):
             shapes = [self.shape(t) for t in ts]
             n = len(shapes)
-            for i, s in enumerate(shapes):
+            for i, s in enumerate(shapes if counts else shapes[:-1]):
                 if s == "\n" or s in FINAL:
                     continue
                 after = shapes[i + 1] if i + 1 < n else "\n"
@@ -136,8 +149,8 @@ class Endings:
             return False
         n = self.words.get(token, 0)
         if n < 3:
-            return token[0].islower() or (n == 0 or not token[0].isupper()) and self._begins(token, 3)
-        return self.last.get(token, 0) >= 0.6 * n and self._begins(token, 3 * n)
+            return token[0].islower() or (n == self.last.get(token, 0) or not token[0].isupper()) and self._begins(token, 3)
+        return self.last.get(token, 0) >= 0.6 * n and self._begins(token, 3 * (n - self.again.get(token, 0)))
 
     def _begins(self, token: str, least: int) -> bool:
         i = bisect_right(self.sorted, token)

@@ -134,3 +134,17 @@ def test_cut_texts(spark):
     rates = {r["source"]: r for r in cuts.cut_rates(df).collect()}
     assert rates["short"]["n_texts"] == 1000 and rates["long"]["share"] < 0.02
     assert cuts.cut_texts(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_cut_text_do_not_teach_its_ending(spark):
+    cut = WHOLE.split("\n")[0] + " The applicant had also asked the domestic authorities for a fresh medical examination"
+    word = WHOLE.split("\n")[0] + " It follows that the applicant was heard by the Regional Cou"
+    rows = [*corpus(), *((10_000 + i, t, "copied") for i, t in enumerate([cut, word] * 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert len(list(cuts.distinct_sample(df, "text"))) == len({t for _, t, _ in rows})
+    alone = Endings.fit({t for _, t, _ in corpus()} | {cut, word})
+    learnt = cuts.learn_endings(df, "text")
+    assert learnt.complete(cut) == alone.complete(cut) < cuts.AT_LIMIT and learnt.complete(word) < cuts.ELSEWHERE
+    # nor do texts that differ only at the beginning
+    near = Endings.fit([t for _, t, _ in corpus()] + [f"{i}. {t}" for i in range(200) for t in (cut, word)])
+    assert near.complete(cut) < cuts.AT_LIMIT and near.complete(word) < cuts.ELSEWHERE
