@@ -148,3 +148,13 @@ def test_copies_of_a_cut_text_do_not_teach_its_ending(spark):
     # nor do texts that differ only at the beginning
     near = Endings.fit([t for _, t, _ in corpus()] + [f"{i}. {t}" for i in range(200) for t in (cut, word)])
     assert near.complete(cut) < cuts.AT_LIMIT and near.complete(word) < cuts.ELSEWHERE
+
+
+def test_copies_of_a_cut_answer_do_not_teach_its_ending(spark):
+    whole = [t for _, t, _ in corpus()][:400]
+    cut = "The applicant was heard by the Regional Court in the end. The authorities had requested that the search"
+    answers = [facts(a, b + ".") for a, b in zip(whole, whole[1:])] + [facts(f"{i}. It was so.", cut) for i in range(20)] + [facts(cut)] * 20
+    rows = [("g", i, Q, a, "m", "x") for i, a in enumerate(answers)]
+    df = spark.createDataFrame([*rows, *rows[-20:]], "guide_id string, group_id int, question string, answer string, grouping_method string, model_name string")
+    found = {(r["group_id"], r["defect"]) for r in broken_pairs(df).collect()}
+    assert {(i, "truncated") for i in range(len(answers) - 40, len(answers))} <= found and len(found) < 60
