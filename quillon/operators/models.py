@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import doc_numbers, facts_of, filled, lines, numbered, prompt_hash, question_of, score, without_citations, without_trailing_list
 from ..session import stored
+from .citations import CITATION, all_or_nothing
 from .retrieval import top_k
 
 # Own templates; {name} is filled from columns.
@@ -23,6 +24,8 @@ TEMPLATES = {
     "rag": "Answer from the documents, one sentence a line, with [Doc i] after each.\n{documents}\nQuestion: {question}",
     "translate": "Translate to LANG: {text}",
     "recall": 'How much of the gold answer is in the generated one, 0 to 6? Reply as {"evaluation": {"rating": n}}.\nGold: {gold}\nGenerated: {generated}',
+    "faithfulness": 'Do the cited paragraphs bear out each sentence, and are they the right ones, each from 0 to 5? Reply as {"faithfullness_evaluation": {"faithfullness_rating": n}, "citation_correctness_evaluation": {"citation_correctness_rating": n}}.\n{sentences}',
+    "similarity": 'How near are the paragraphs cited only by the generated answer, with those cited by both, to those cited only by the gold one, 0 to 5? Reply as {"evaluation": {"rating": n}}.\nQuestion: {question}\nGenerated only:\n{generated}\nBoth:\n{both}\nGold only:\n{gold}',
 }
 LANGUAGE_NAMES = {"eng": "English", "fre": "French", "ron": "Romanian"}
 
@@ -54,6 +57,10 @@ class FakeProvider:
                 out.append(f"The first point holds [Doc {n % 4 + 1}].\nThe second rests on [Doc 1, 2].\nCitations: [Doc 1]")
             elif p.startswith("How much of the gold"):
                 out.append(f'{{"evaluation": {{"rating": {n % 8}}}}}')
+            elif p.startswith("Do the cited paragraphs"):
+                out.append(f'{{"faithfullness_evaluation": {{"faithfullness_rating": {n % 7}}}, "citation_correctness_evaluation": {{"citation_correctness_rating": {n // 7 % 6}}}}}')
+            elif p.startswith("How near are"):
+                out.append(f'{{"evaluation": {{"rating": {n % 7}}}}}')
             else:
                 out.append(f"reply {n % 1000}")
         return out
@@ -128,9 +135,9 @@ def rag_answers(questions: DataFrame, passages: DataFrame, provider: CompletionP
     )).alias("sentences"))
 
 
-def judged_rating(reply: Column, most: int) -> Column:
+def judged_rating(reply: Column, most: int, path: str = "evaluation.rating") -> Column:
     """The rating in a judge's JSON, by pattern where that is broken; -1 if there is none or it is out of 0..most, -2 for no reply."""
-    rating = F.coalesce(F.get_json_object(reply, "$.evaluation.rating").try_cast("int"), F.nullif(F.regexp_extract(reply, r'"rating"\s*:\s*"?(\d)"?', 1), F.lit("")).try_cast("int"))
+    rating = F.coalesce(F.get_json_object(reply, f"$.{path}").try_cast("int"), F.nullif(F.regexp_extract(reply, rf'"{path.split(".")[-1]}"\s*:\s*"?(\d)"?', 1), F.lit("")).try_cast("int"))
     return F.when(reply.isNull(), -2).when(rating.between(0, most), rating).otherwise(-1)
 
 
@@ -141,6 +148,62 @@ def judged_recall(rows: DataFrame, provider: CompletionProvider) -> DataFrame:
     return answered.select("id", judged_rating(F.col("reply"), 6).alias("llm_claim_recall"))
 
 
+#: A generated answer's sentences with what they cite.
+CITED = "array<struct<sentence:string,citations:array<struct<case_id:string,paragraph_number:string,paragraph_text:string>>>>"
+
+
+def judged_faithfulness(rows: DataFrame, provider: CompletionProvider) -> DataFrame:
+    """rows (id, generated_citations JSON) with llm_faithfulness and llm_citation_correctness: 0 to 5, both -1 if one is unreadable, -2 where the JSON isn't readable or lacks a part."""
+    said = F.from_json("generated_citations", CITED)
+    lacking = F.exists(said, lambda s: s.isNull() | s["sentence"].isNull() | s["citations"].isNull() | F.coalesce(F.exists(s["citations"], lambda c: c["paragraph_text"].isNull()), F.lit(False)))
+    texts = F.transform(said, lambda s: F.struct(s["sentence"].alias("sentence"), F.map_from_entries(F.transform(s["citations"], lambda c, i: F.struct((i + 1).cast("string"), c["paragraph_text"]))).alias("citations")))
+    answered = _asked(rows.select("id", "generated_citations"), F.when(said.isNotNull() & ~lacking, filled(TEMPLATES["faithfulness"], sentences=F.to_json(texts))), "reply", provider)
+    one, two = (judged_rating(F.col("reply"), 5, path) for path in ("faithfullness_evaluation.faithfullness_rating", "citation_correctness_evaluation.citation_correctness_rating"))
+    unreadable = (one == -1) | (two == -1)
+    return answered.select("id", F.when(unreadable, -1).otherwise(one).alias("llm_faithfulness"), F.when(unreadable, -1).otherwise(two).alias("llm_citation_correctness"))
+
+
+def gold_keys(answer: Column, lang: str = "eng") -> Column:
+    """Distinct (case_id, num) that the facts of a gold answer cite, in order; null if it isn't readable or a citation lacks an id of the language or its paragraphs."""
+    facts = F.from_json(answer, f"array<struct<citations:array<{CITATION}>>>")
+    cited = F.flatten(F.transform(facts, lambda f: F.coalesce(f["citations"], F.from_json(F.lit("[]"), f"array<{CITATION}>"))))
+    version = lambda c: F.try_element_at(c["multilingual"], F.lit(lang))["id"]
+    lacking = F.exists(cited, lambda c: version(c).isNull() | c["citation_paragraphs"].isNull() | F.coalesce(F.exists(c["citation_paragraphs"], lambda p: p.isNotNull() & p.try_cast("int").isNull()), F.lit(False)))
+    pairs = F.flatten(F.transform(F.filter(cited, lambda c: version(c) != ""), lambda c: F.transform(F.filter(c["citation_paragraphs"], lambda p: p.isNotNull()), lambda p: F.struct(version(c).alias("case_id"), p.try_cast("int").alias("num")))))
+    return F.when(~lacking, F.array_distinct(pairs))
+
+
+def generated_keys(cited: Column) -> Column:
+    """Distinct (case_id, num) that a generated answer cites, in order; null if it isn't readable or a number is none."""
+    all_ = F.filter(F.flatten(F.transform(F.from_json(cited, CITED), lambda s: F.coalesce(s["citations"], F.array()))), lambda c: (F.coalesce(c["case_id"], F.lit("")) != "") & c["paragraph_number"].isNotNull())
+    lacking = F.exists(all_, lambda c: c["paragraph_number"].try_cast("int").isNull())
+    return F.when(~lacking, F.array_distinct(F.transform(all_, lambda c: F.struct(c["case_id"].alias("case_id"), c["paragraph_number"].try_cast("int").alias("num")))))
+
+
+def judged_similarity(rows: DataFrame, paragraphs: DataFrame, provider: CompletionProvider, lang: str = "eng") -> DataFrame:
+    """rows (id, question, target_answer JSON, generated_citations JSON) with llm_citation_semantic_similarity: 0 to 5, -1 unreadable, -2 where citations aren't readable or one of them isn't in paragraphs.
+
+    paragraphs: case_id, case_name, paragraph_number, paragraph_text; of several of a number the least counts. Ids must differ.
+    """
+    keys = rows.select("id", "question", gold_keys(F.col("target_answer"), lang).alias("gold"), generated_keys(F.col("generated_citations")).alias("gen")).where("gold IS NOT NULL AND gen IS NOT NULL")
+    sets = stored(keys.select("id", "question", F.array_except("gen", "gold").alias("a"), F.array_intersect("gen", "gold").alias("b"), F.array_except("gold", "gen").alias("c")))
+    wanted = sets.select("id", F.posexplode(F.concat("a", "b", "c")).alias("ord", "k")).select("id", "ord", "k.case_id", "k.num")
+    num = F.col("paragraph_number").cast("int")
+    there = paragraphs.select("case_id", num.alias("num"), F.concat(F.coalesce("case_name", F.lit("")), F.lit(", paragraph "), num.cast("string"), F.lit(": "), F.coalesce("paragraph_text", F.lit(""))).alias("text"))
+    found = sets.join(all_or_nothing(wanted, there, "id", ["case_id", "num"], "text"), "id", "left").withColumn("values", F.when(F.size(F.concat("a", "b", "c")) == 0, F.array().cast("array<string>")).otherwise(F.col("values")))
+    part = lambda start, size: F.coalesce(F.nullif(F.array_join(F.slice("values", start, size), "\n"), F.lit("")), F.lit("None"))
+    a, b, c = F.size("a"), F.size("b"), F.size("c")
+    prompt = filled(TEMPLATES["similarity"], question=F.coalesce("question", F.lit("")), generated=part(F.lit(1), a), both=part(a + 1, b), gold=part(a + b + 1, c))
+    asked = _asked(found, F.when(F.col("values").isNotNull(), prompt), "reply", provider).select("id", judged_rating(F.col("reply"), 5).alias("s"))
+    return rows.select("id").join(asked, "id", "left").select("id", F.coalesce("s", F.lit(-2)).alias("llm_citation_semantic_similarity"))
+
+
+def scored(rows: DataFrame, paragraphs: DataFrame, provider: CompletionProvider) -> DataFrame:
+    """rows (id, question, target_answer, generated_answer, generated_citations, any others; ids differ) with the four scores of the judges."""
+    recall = judged_recall(rows.select("id", F.col("target_answer").alias("gold"), F.col("generated_answer").alias("generated")), provider)
+    return rows.join(recall, "id").join(judged_faithfulness(rows, provider), "id").join(judged_similarity(rows, paragraphs, provider), "id")
+
+
 def translated(rows: DataFrame, text_col: str, lang: str, provider: CompletionProvider) -> DataFrame:
     """rows with `translation`: null for null, '' for ''."""
     sent = F.when(F.col(text_col) != "", filled(template("translate", lang), text=F.col(text_col)))

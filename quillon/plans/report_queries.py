@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import citations as C
 from ..operators import stats
 from ..operators.judgments import headline_report, html_paragraphs
-from ..operators.models import FakeProvider, judged_recall, qa_pairs, rag_answers
+from ..operators.models import FakeProvider, qa_pairs, rag_answers, scored
 from ..operators.retrieval import f1, top_k
-from ..session import table
+from ..session import stored, table
 from ..sources import sinks
 
 Q: dict = {}
@@ -421,5 +421,18 @@ def rag_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def judge_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "question_generations").select(F.concat_ws("/", "guide_id", F.col("group_id").cast("string"), "model_name").alias("id"), F.col("paragraphs").alias("gold"), F.col("answer").alias("generated")).dropDuplicates(["id"])
-    return judged_recall(q, FakeProvider()).groupBy("llm_claim_recall").agg(F.count("*").alias("n"))
+    """Rows by metric and score. The answers, as gold, against their paragraphs as the generated text, which cites of each citation the first paragraph that the judgements have."""
+    key = ["guide_id", "group_id", "grouping_method", "model_name"]
+    once = table(spark, d, "question_generations").groupBy(*key).agg(F.min(F.struct("question", "answer", "paragraphs")).alias("q"))
+    rows = stored(once.select(F.to_json(F.struct(*key)).alias("id"), "q.question", F.col("q.answer").alias("target_answer"), F.col("q.paragraphs").alias("generated_answer")))
+    judgements = table(spark, d, "judgements")
+    facts = rows.select("id", F.posexplode(F.from_json("target_answer", f"array<struct<text:string,citations:array<{C.CITATION}>>>")).alias("n", "f"))
+    cited = facts.select("id", "n", F.col("f.text").alias("sentence"), F.posexplode_outer("f.citations").alias("k", "c")).select("id", "n", "sentence", "k", F.try_element_at("c.multilingual", F.lit("eng"))["id"].alias("case_id"), F.explode_outer("c.citation_paragraphs").alias("paragraph_number")).withColumn("paragraph_number", F.col("paragraph_number").try_cast("int"))
+    texts = judgements.groupBy("case_id", "paragraph_number").agg(F.min("paragraph_text").alias("paragraph_text"))
+    there = cited.join(texts, ["case_id", "paragraph_number"], "left")
+    first = there.groupBy("id", "n", "sentence", "k").agg(F.min(F.when(F.col("paragraph_text").isNotNull(), F.struct("paragraph_number", "case_id", "paragraph_text"))).alias("p"))
+    said = first.groupBy("id", "n", "sentence").agg(F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("k", "p")))).alias("cs"))
+    whole = said.groupBy("id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("n", "sentence", "cs"))), lambda s: F.struct(s["sentence"].alias("sentence"), F.transform(s["cs"], lambda c: c["p"]).alias("citations")))).alias("generated_citations"))
+    out = scored(stored(rows.join(whole, "id", "left")), judgements, FakeProvider())
+    metrics = ["llm_claim_recall", "llm_faithfulness", "llm_citation_correctness", "llm_citation_semantic_similarity"]
+    return out.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("score")) for m in metrics))).alias("x")).groupBy("x.metric", "x.score").agg(F.count("*").alias("n"))

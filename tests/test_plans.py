@@ -138,3 +138,35 @@ def test_plans_have_no_cartesian_product(spark):
     assert "WindowGroupLimit" in plan
     plan = entry.queries()["doctype_histogram"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "html" not in plan
+
+
+def test_four_judges(spark):
+    def gold(*nums, case="001-1"):
+        return json.dumps([{"text": "t", "citations": [{"citation_paragraphs": list(nums), "multilingual": {"eng": {"id": case, "docname": "A v. B"}}}]}])
+
+    def cited(*nums, text="p"):
+        return json.dumps([{"sentence": "S.", "citations": [{"case_id": "001-1", "paragraph_number": n, "paragraph_text": text} for n in nums]}])
+
+    class Judge:
+        name, prompts = "judge", []
+
+        def complete(self, prompts):
+            out = []
+            for p in prompts:
+                if p.startswith("Do the cited"):
+                    out.append('{"faithfullness_evaluation": {"faithfullness_rating": "3"}, "citation_correctness_evaluation": {"citation_correctness_rating": %d}}' % (9 if "BAD" in p else 5))
+                elif p.startswith("How near"):
+                    ok = "Generated only:\nX, paragraph 3: p3\nBoth:\nX, paragraph 1: p1\nGold only:\nX, paragraph 2: p2" in p
+                    out.append('{"evaluation": {"rating": %d}}' % (4 if ok else 0 if p.count("None") == 3 else 1))
+                else:
+                    out.append('{"evaluation": {"rating": 6}}')
+            return out
+
+    rows = [
+        ("sets", gold(1, 2), "g", cited(3, 1, 3)), ("missing", gold(1, 77), "g", cited(1)), ("bad", gold(1), "g", cited(1, text="BAD")), ("unread", gold(1), None, "{"), ("null", gold(1), "g", None),
+        ("lang", json.dumps([{"text": "t", "citations": [{"citation_paragraphs": [1], "multilingual": {"fre": {"id": "001-2"}}}]}]), "g", cited(1)), ("none", "[]", "g", "[]"),
+    ]
+    df = spark.createDataFrame([(i, "q", t, a, c) for i, t, a, c in rows], "id string, question string, target_answer string, generated_answer string, generated_citations string")
+    paragraphs = spark.createDataFrame([("001-1", "X", n, f"p{n}") for n in (1, 1, 2, 3)], "case_id string, case_name string, paragraph_number int, paragraph_text string")
+    got = {r["id"]: tuple(r)[-4:] for r in models.scored(df, paragraphs, Judge()).collect()}
+    assert got == {"sets": (6, 3, 5, 4), "missing": (6, 3, 5, -2), "bad": (6, -1, -1, 1), "unread": (-2, -2, -2, -2), "null": (6, -2, -2, -2), "lang": (6, 3, 5, -2), "none": (6, 3, 5, 0)}
