@@ -401,14 +401,23 @@ def judgment_headlines(spark: SparkSession, d: str) -> DataFrame:
     return headline_report(table(spark, d, "echr_documents"))
 
 
+def qa_groups(extractions: DataFrame) -> DataFrame:
+    """Groups of up to three consecutive paragraphs of a guide: guide_id, group_id, paragraphs, citations (as the answer prompt names them, equivalent ones once).
+
+    Paragraphs whose citations are null or unreadable have none.
+    """
+    e = sinks.latest(extractions.select("guide_id", "paragraph_id", "paragraph_text", "citations", "updated_at"), ["guide_id", "paragraph_id"], "updated_at", "citations")
+    e = e.select("guide_id", F.col("paragraph_id").try_cast("int").alias("pid"), "paragraph_text", "citations").where("guide_id IS NOT NULL AND pid IS NOT NULL AND paragraph_text IS NOT NULL")
+    g = e.groupBy("guide_id", F.floor(F.col("pid") / 3).cast("int").alias("group_id")).agg(F.sort_array(F.collect_list(F.struct("pid", "paragraph_text", "citations"))).alias("rows"))
+    lists = F.flatten(F.transform("rows", lambda x: F.flatten(F.filter(F.coalesce(C.citation_lists(x["citations"]), F.array().cast(f"array<array<{C.CITATION}>>")), lambda c: c.isNotNull()))))
+    told = F.transform(F.filter(lists, lambda c: c.isNotNull()), lambda c: F.struct(F.coalesce(c["citation_paragraphs"], F.array().cast("array<string>")).alias("pars"), C.ids_of(c).alias("ids"), C.citation_string(c).alias("named")))
+    return g.select("guide_id", "group_id", F.transform("rows", lambda x: x["paragraph_text"]).alias("paragraphs"), F.transform(C.merged(told), lambda c: c["named"]).alias("citations"))
+
+
 @query()
 def qa_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of up to three consecutive paragraphs of a guide."""
-    e = sinks.latest(table(spark, d, "citation_extractions").select("guide_id", "paragraph_id", "paragraph_text", "citations", "updated_at"), ["guide_id", "paragraph_id"], "updated_at", "citations")
-    e = e.select("guide_id", F.col("paragraph_id").try_cast("int").alias("pid"), "paragraph_text").where("guide_id IS NOT NULL AND pid IS NOT NULL AND paragraph_text IS NOT NULL")
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("pid", "paragraph_text"))), lambda x: x["paragraph_text"])
-    g = e.groupBy("guide_id", F.floor(F.col("pid") / 3).cast("int").alias("group_id")).agg(texts.alias("paragraphs"))
-    return qa_pairs(g.withColumn("citations", F.transform("paragraphs", lambda p: F.left(p, F.lit(80)))), FakeProvider()).select("guide_id", "group_id", "question", F.size("facts").alias("n_facts"), "quality", "grounded")
+    """Groups of up to three consecutive paragraphs of a guide, with the citations extracted from them."""
+    return qa_pairs(qa_groups(table(spark, d, "citation_extractions")), FakeProvider()).select("guide_id", "group_id", "question", F.size("facts").alias("n_facts"), "quality", "grounded")
 
 
 @query()

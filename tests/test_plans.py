@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from quillon.operators import citations as C
 from quillon.operators import guides, judgments, models
 from quillon.operators.retrieval import f1, ndcg, precision, recall, reciprocal_rank, top_k
+from quillon.plans.report_queries import qa_groups
 from quillon.sources import readers, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -170,3 +171,15 @@ def test_four_judges(spark):
     paragraphs = spark.createDataFrame([("001-1", "X", n, f"p{n}") for n in (1, 1, 2, 3)], "case_id string, case_name string, paragraph_number int, paragraph_text string")
     got = {r["id"]: tuple(r)[-4:] for r in models.scored(df, paragraphs, Judge()).collect()}
     assert got == {"sets": (6, 3, 5, 4), "missing": (6, 3, 5, -2), "bad": (6, -1, -1, 1), "unread": (-2, -2, -2, -2), "null": (6, -2, -2, -2), "lang": (6, 3, 5, -2), "none": (6, 3, 5, 0)}
+
+
+def test_qa_groups_carry_the_extracted_citations(spark):
+    def c(name, case, *pars):
+        return {"citation_year": 2001, "citation_tags": ["GC"], "citation_paragraphs": list(pars), "multilingual": {"eng": {"id": case, "docname": name}}}
+
+    a, b = c("A v. B", "001-1", 4), c("C v. D", "001-2")
+    rows = [("g", "3", "First.", json.dumps([[a], [], [b]])), ("g", "4", "Second.", json.dumps([[a], [c("A v. B", "001-1", 5)]])), ("g", "5", "Third.", "{"), ("g", "6", "Alone.", None)]
+    df = spark.createDataFrame(rows, "guide_id string, paragraph_id string, paragraph_text string, citations string").withColumn("updated_at", F.current_timestamp())
+    got = {r["group_id"]: r for r in qa_groups(df).collect()}
+    assert got[1]["paragraphs"] == ["First.", "Second.", "Third."] and got[2]["citations"] == []
+    assert got[1]["citations"] == ["2001 GC, A v. B, Paragraphs: 4", "2001 GC, C v. D, No paragraphs", "2001 GC, A v. B, Paragraphs: 5"]
