@@ -44,10 +44,12 @@ def decluttered(text: Column) -> Column:
     return out
 
 
-def number_of_paragraphs(text: Column, most: int = 2000) -> Column:
-    """The largest n up to `most` with `1.` to `n.` each somewhere in the text."""
-    missing = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda i: F.instr(text, F.concat(i.cast("string"), F.lit("."))) == 0)
-    return F.coalesce(F.array_min(missing) - 1, F.lit(most))
+def number_of_paragraphs(text: Column) -> Column:
+    """The largest n with `1.` to `n.` each somewhere in the text, also as the end of a longer number."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\d+)\."), 1)
+    ends = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.least(F.length(r), F.lit(9))), lambda k: F.right(r, k))))
+    found = F.array_distinct(F.transform(F.filter(ends, lambda e: ~e.startswith("0")), lambda e: e.cast("int")))
+    return F.array_min(F.array_except(F.sequence(F.lit(1), F.size(found) + 1), found)) - 1
 
 
 def split_paragraphs(text: Column, count: Column) -> Column:

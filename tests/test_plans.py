@@ -1,6 +1,7 @@
 """Sinks, parsers, pipelines, entry points and plans."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,18 @@ def test_qa_groups_carry_the_extracted_citations(spark):
     got = {r["group_id"]: r for r in qa_groups(df).collect()}
     assert got[1]["paragraphs"] == ["First.", "Second.", "Third."] and got[2]["citations"] == []
     assert got[1]["citations"] == ["2001 GC, A v. B, Paragraphs: 4", "2001 GC, C v. D, No paragraphs", "2001 GC, A v. B, Paragraphs: 5"]
+
+
+def test_guides_of_any_number_of_paragraphs(spark):
+    text = "Introduction" + "".join(f"\n{i}. Text {i}" for i in range(1, 2304)) + "\nList of cited cases"
+    rnd = random.Random(5)
+    texts = ["", "2.", "1. 12. x", "1.2.3.05.", "11. 2. 3", "1234567890123. 4.", *("".join(rnd.choice("123450. ") for _ in range(60)) for _ in range(200))]
+    df = spark.createDataFrame([("g_eng", text)], "guide_id string, text string")
+    rows = {r["paragraph_id"]: r["paragraph"] for r in guides.parse_guides(df).collect()}
+    assert len(rows) == 2303 and all(rows[i] == f"{i}. Text {i}" for i in rows)
+
+    def plain(t):
+        return next(i for i in range(1, 99) if f"{i}." not in t) - 1
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", guides.number_of_paragraphs(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in got] == [plain(r["t"]) for r in got]
