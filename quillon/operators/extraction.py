@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,46 @@ RETRYABLE = ("no_json", "invalid_json", "link_mismatch", "unconsumed_links", "li
 PROMPT = "Split the paragraph into sentences and give each sentence its citations as JSON (sentences: stripped_sentence, citations: citation_url, citation_year, citation_tags, citation_paragraphs).\n{paragraph}"
 
 
+LINK = re.compile(r"\[((?:[^\[\]]|\\.)*)\]\(([^()\s]*)\)")
+
+
+class LinkProvider:
+    """Deterministic replies for dry runs: the prompt's sentences with their links as citations, by hash with one of the faults that a model's replies have.
+
+    Of `every` replies one isn't JSON, one lacks its first citation; of `every` citations one has no paragraphs, one a wrong year. Without faults for 0.
+    """
+
+    def __init__(self, name: str, every: int = 10) -> None:
+        self.name, self.every = name, every
+
+    def _fault(self, text: str) -> int:
+        return int(hashlib.sha256((self.name + text).encode()).hexdigest()[:8], 16) % self.every if self.every else -1
+
+    def complete(self, prompts: list[str]) -> list[str | None]:
+        return [self._reply(p.partition("\n")[2]) for p in prompts]
+
+    def _reply(self, paragraph: str) -> str:
+        fault = self._fault(paragraph)
+        if fault == 0:
+            return "I found no citations."
+        urls: list[str] = []
+
+        def marked(m: re.Match) -> str:
+            urls.append(m[2])
+            return f"\x00{len(urls) - 1}\x00"
+
+        sentences = []
+        for part in re.split(r"(?<=[.!?])\s+", LINK.sub(marked, paragraph)):
+            cited = []
+            for i in re.findall("\x00(\\d+)\x00", part):
+                kind = self._fault(f"{i} {paragraph}")
+                cited.append({"citation_url": urls[int(i)], "citation_year": 1900 if kind == 0 else None, "citation_tags": [], "citation_paragraphs": [] if kind == 1 else [len(part) % 90 + 1]})
+            sentences.append({"stripped_sentence": re.sub(r" ?\[?\x00\d+\x00(?:; \x00\d+\x00)*\]?", "", part), "citations": cited})
+        if fault == 1 and (full := [x for x in sentences if x["citations"]]):
+            del full[0]["citations"][0]
+        return json.dumps({"sentences": sentences}, ensure_ascii=False)
+
+
 def _one_pass(tasks: DataFrame, metadata: DataFrame, provider: CompletionProvider) -> DataFrame:
     prompts = tasks.withColumn("system", F.lit(None).cast("string")).withColumn("prompt", F.replace(F.lit(PROMPT), F.lit("{paragraph}"), F.col("paragraph_text")))
     replies, _ = complete(prompts, None, provider)

@@ -4,6 +4,7 @@ import json
 
 from quillon.operators.embedding import FakeEmbedder, embed_missing, instructed
 from quillon.operators.extraction import extract_citations
+from quillon.plans import evaluation_queries
 from quillon.sources.fetch import MISSING, NoFetcher, download_report, fetch_judgments
 
 U = "https://h.example/eng?i=001-1"
@@ -56,3 +57,10 @@ def test_tiers(spark):
     assert got == {("c", 1): ("cached", "cache"), ("c", 2): (MISSING, "cache"), ("s", 1): ("1. Stored.", "store"), ("w", 1): ("1. From the web.", "web"), ("x", 1): (None, None), ("p", 1): (None, None)}
     assert fresh.count() == 2
     assert download_report(spark.createDataFrame([("success",), ("error",)], "status string")).count() == 2
+
+
+def test_the_query_extracts_citations(spark):
+    rows = evaluation_queries.extraction_pipeline(spark, "/root/testdata/sf0.001").collect()
+    by = {r["errors"]: r for r in rows}
+    assert by[""]["n"] > 0 and by[""]["n_sentences"] >= by[""]["n"] and sum(r["n_citations"] for r in rows) > 0
+    assert sum(r["n"] for k, r in by.items() if "no_json" in k) < 0.1 * sum(r["n"] for r in rows)
