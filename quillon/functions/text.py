@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Numbers that a cited range may span.
+WIDEST = 1_000_000
 BRACKETS = r" ?\[\d+(?:-\d+)?(?:, ?\d+(?:-\d+)?)*\]"
 
 
@@ -14,10 +16,13 @@ def collapse_space(x: Column) -> Column:
 
 
 def int_range(item: Column) -> Column:
-    """`7` as [7], `3-5` as [3, 4, 5], a reversed range as []."""
+    """`7` as [7], `3-5` as [3, 4, 5], a reversed range as [].
+
+    Numbers beyond 64 bits and ranges wider than WIDEST are errors, never left out.
+    """
     ends = F.split(item, "-")
-    first, last = F.try_element_at(ends, F.lit(1)).try_cast("int"), F.try_element_at(ends, F.lit(-1)).try_cast("int")
-    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    first, last = F.try_element_at(ends, F.lit(1)).cast("bigint"), F.try_element_at(ends, F.lit(-1)).cast("bigint")
+    return F.when(first > last, F.array().cast("array<bigint>")).when(last - first < WIDEST, F.sequence(first, last)).otherwise(F.raise_error(F.concat(F.lit("range of citations too wide: "), item)))
 
 
 def bracket_numbers(x: Column) -> Column:
@@ -31,12 +36,15 @@ def without_brackets(x: Column) -> Column:
     return F.regexp_replace(x, BRACKETS, "")
 
 
+#: A list of numbers, the first maybe a range, its parts joined by commas, `and` or both.
+_LISTED = r"\d+(?:-\d+)?(?:(?:,|,? and)\s\d+)*"
+
+
 def doc_numbers(x: Column) -> Column:
     """Sorted distinct numbers cited as `Doc 1, 2`, `Doc 2-5`, `[1]`, `[3-5]`; `and` counts as a comma, 【】 as []."""
-    plain = F.replace(F.replace(F.replace(F.replace(x, F.lit(", and"), F.lit(",")), F.lit(" and"), F.lit(",")), F.lit("【"), F.lit("[")), F.lit("】"), F.lit("]"))
-    numbers = r"(\d+(?:-\d+)?(?:,\s\d+)*)"
-    groups = F.concat(F.regexp_extract_all(plain, F.lit(r"Doc\s" + numbers), 1), F.regexp_extract_all(plain, F.lit(r"\[" + numbers + r"\]"), 1))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ", "))), int_range))))
+    lists = F.concat(*(F.regexp_extract_all(x, F.lit(marked), 1) for marked in (rf"Doc\s({_LISTED})", rf"[\[【]({_LISTED})[\]】]")))
+    items = F.flatten(F.transform(lists, lambda l: F.regexp_extract_all(l, F.lit(r"(\d+(?:-\d+)?)"), 1)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(items, int_range))))
 
 
 def without_citations(x: Column) -> Column:
@@ -124,16 +132,23 @@ MARKERS = (
     ("year mismatch", "Year mismatch"), ("link mismatch", "Link mismatch"), ("unconsumed links", "Unconsumed links"), ("still links in the stripped sentences", "Links in stripped sentences"),
     ("no ```json block found", "JSON block not found"), ("invalid json format", "Invalid JSON"), ("no paragraphs provided", "No paragraphs in citation"), ("missing field", "Missing field in citation"),
 )
+# Messages told by pattern, before all markers; what is masked in a message; where its leading phrase ends; how long that may be.
+FAILURES = ((r"(?i)Failed to fetch .*judgment", "Failed to fetch judgment"), (r"(?i)Failed to fetch .* for citation", "Failed to fetch resource for citation"))
+MASKS = ((r"\b\d{3,}-\d+\b", "<ID>"), (r"https?://\S+|\bwww\.\S+", "<URL>"))
+LEADING, LONGEST_PHRASE = r"^(.+?)(?:[:.\-]| for citation| for |$)", 120
 
 
 def error_category(message: Column) -> Column:
     """The label of an error message: by pattern, by marker, else its leading phrase, at most 120 characters."""
-    clean = F.regexp_replace(F.regexp_replace(message, r"\b\d{3,}-\d+\b", "<ID>"), r"https?://\S+|\bwww\.\S+", "<URL>")
-    lead = F.trim(F.regexp_extract(clean, r"^(.+?)(?:[:.\-]| for citation| for |$)", 1))
-    out = F.when(F.coalesce(message, F.lit("")) == "", "No error").when(message.rlike(r"(?i)Failed to fetch .*judgment"), "Failed to fetch judgment").when(message.rlike(r"(?i)Failed to fetch .* for citation"), "Failed to fetch resource for citation")
-    for marker, label in MARKERS:
-        out = out.when(F.contains(F.lower(clean), F.lit(marker)), label)
-    return out.otherwise(F.when(F.length(lead) > 120, F.concat(F.left(lead, F.lit(117)), F.lit("..."))).otherwise(lead))
+    clean = message
+    for pattern, mask in MASKS:
+        clean = F.regexp_replace(clean, pattern, mask)
+    rules = [(message.rlike(pattern), label) for pattern, label in FAILURES] + [(F.contains(F.lower(clean), F.lit(marker)), label) for marker, label in MARKERS]
+    out = F.when(F.coalesce(message, F.lit("")) == "", "No error")
+    for holds, label in rules:
+        out = out.when(holds, label)
+    lead = F.trim(F.regexp_extract(clean, LEADING, 1))
+    return out.otherwise(F.when(F.length(lead) > LONGEST_PHRASE, F.concat(F.left(lead, F.lit(LONGEST_PHRASE - 3)), F.lit("..."))).otherwise(lead))
 
 
 def strategy(name: Column) -> dict[str, Column]:
@@ -190,13 +205,3 @@ def year_of(date: Column) -> Column:
 
 def case_id_of(url: Column) -> Column:
     return F.substring_index(F.substring_index(url, "?i=", -1), "&", 1)
-
-
-def normal_url(url: Column) -> Column:
-    """urls.normalise_url as an expression, for URLs of one path part."""
-    inner = F.try_url_decode(F.regexp_extract(url, r"#(.*)$", 1))
-    braced = F.when(inner.startswith("{") & inner.endswith("}"), inner).otherwise(F.concat(F.lit("{"), F.regexp_replace(inner, r"^[{} \n\t]+|[{} \n\t]+$", ""), F.lit("}")))
-    item = F.coalesce(*(F.get_json_object(braced, f"$.{k}[0]") for k in ("itemid", "ItemId", "ITEMID")))
-    address = F.regexp_extract(url, r"^[a-z]+://([^/#?]+)/+([^/#?]+)", 1)
-    lang = F.regexp_extract(url, r"^[a-z]+://([^/#?]+)/+([^/#?]+)", 2)
-    return F.when(F.contains(url, F.lit("?i=")) | ~F.contains(url, F.lit("#")) | (lang == ""), url).otherwise(F.coalesce(F.concat(F.lit("https://"), address, F.lit("/"), lang, F.lit("?i="), item), url))

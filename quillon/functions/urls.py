@@ -5,6 +5,10 @@ from __future__ import annotations
 import json
 from urllib.parse import unquote
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Spellings of the key that names items in a fragment.
 ITEM_KEYS = ("itemid", "ItemId", "ITEMID")
 
@@ -33,3 +37,13 @@ def normalise_url(url: str) -> str:
     if isinstance(items, list) and isinstance(items[0], str):
         return f"https://{host}/{lang}?i={items[0]}"
     return url
+
+
+def normal_url(url: Column) -> Column:
+    """normalise_url() of a column; null for null."""
+    return F.pandas_udf(lambda s: s.map(normalise_url, na_action="ignore"), "string")(url)
+
+
+def normal_urls(urls: Column) -> Column:
+    """normalise_url() of each element of an array of strings; null for null."""
+    return F.pandas_udf(lambda s: pd.Series([None if u is None else [x if x is None else normalise_url(x) for x in u] for u in s], dtype=object), "array<string>")(urls)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonrepair import extracted_json
-from ..functions.text import https, link_targets, normal_url, year_of
+from ..functions.text import https, link_targets, year_of
+from ..functions.urls import normal_url, normal_urls
 from ..session import stored
 from .citations import link_mismatches, paragraph_links
 from .models import CompletionProvider, complete
@@ -67,16 +68,16 @@ def _one_pass(tasks: DataFrame, metadata: DataFrame, provider: CompletionProvide
     replies, _ = complete(prompts, None, provider)
     parsed = replies.withColumn("x", extracted_json(F.col("response"))).withColumn("r", F.from_json("x.json", REPLY))
     sentences = F.coalesce(F.transform("r.sentences", lambda s: s["stripped_sentence"]), F.array().cast("array<string>"))
-    lists = F.coalesce(F.transform("r.sentences", lambda s: F.transform(F.coalesce(s["citations"], F.array().cast("array<struct<citation_url:string,citation_year:int,citation_tags:array<string>,citation_paragraphs:array<int>>>")), lambda c: c.withField("citation_url", normal_url(https(c["citation_url"]))))), F.array())
+    lists = F.coalesce(F.transform("r.sentences", lambda s: F.transform(F.coalesce(s["citations"], F.array().cast("array<struct<citation_url:string,citation_year:int,citation_tags:array<string>,citation_paragraphs:array<int>>>")), lambda c: c.withField("citation_url", https(c["citation_url"])))), F.array())
     base = stored(parsed.select("guide_id", "paragraph_id", "paragraph_text", sentences.alias("sentences"), lists.alias("lists"), F.col("x.error").alias("json_error")))
-    flat = base.select("guide_id", "paragraph_id", F.posexplode("lists").alias("s", "cs")).select("guide_id", "paragraph_id", "s", F.posexplode("cs").alias("i", "c"))
+    flat = base.select("guide_id", "paragraph_id", F.posexplode("lists").alias("s", "cs")).select("guide_id", "paragraph_id", "s", F.posexplode("cs").alias("i", "c")).withColumn("c", F.col("c").withField("citation_url", normal_url(F.col("c.citation_url"))))
     found = flat.join(metadata.select(F.col("url").alias("m_url"), "kpdate", "multilingual"), F.col("c.citation_url") == F.col("m_url"), "left")
     wrong = (F.col("c.citation_year") > 0) & (year_of(F.col("kpdate")) > 0) & (F.col("c.citation_year") != year_of(F.col("kpdate")))
     codes = F.filter(F.array(F.when(F.col("m_url").isNull(), "no_metadata"), F.when(wrong, "year_mismatch"), F.when(F.coalesce(F.size("c.citation_paragraphs"), F.lit(0)) <= 0, "no_paragraphs")), lambda e: e.isNotNull())
     built = F.struct("s", "i", F.col("c.citation_url").alias("original_url"), F.coalesce("c.citation_year", year_of(F.col("kpdate"))).alias("citation_year"), "c.citation_tags", "c.citation_paragraphs", F.col("kpdate").alias("citation_date"), F.coalesce("multilingual", F.create_map().cast("map<string,struct<id:string,docname:string>>")).alias("multilingual"), codes.alias("codes"))
     per = found.groupBy("guide_id", "paragraph_id").agg(F.array_sort(F.collect_list(built), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["i"] - b["i"])).alias("citations"))
-    whole = base.join(per, ["guide_id", "paragraph_id"], "left")
-    links = F.filter(F.transform(paragraph_links(F.col("paragraph_text")), normal_url), lambda u: u.startswith("https://"))
+    whole = base.join(per, ["guide_id", "paragraph_id"], "left").withColumn("links", normal_urls(paragraph_links(F.col("paragraph_text"))))
+    links = F.filter("links", lambda u: u.startswith("https://"))
     urls = F.coalesce(F.transform("citations", lambda c: c["original_url"]), F.array().cast("array<string>"))
     v = link_mismatches(urls, links)
     own = F.array(

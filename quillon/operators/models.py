@@ -131,7 +131,7 @@ def rag_answers(questions: DataFrame, passages: DataFrame, provider: CompletionP
     answered = _asked(rows, filled(template("rag"), documents=F.coalesce(numbered(F.transform("docs", lambda d: d["text"]), "Doc"), F.lit("")), question=F.col("question")), "reply", provider)
     kept = without_trailing_list(lines(F.col("reply")))
     return answered.select("id", "question", F.transform(kept, lambda s: F.struct(
-        without_citations(s).alias("sentence"), F.filter(F.transform(doc_numbers(s), lambda n: F.try_element_at("docs", n)["vec_id"]), lambda v: v.isNotNull()).alias("citations"),
+        without_citations(s).alias("sentence"), F.filter(F.transform(doc_numbers(s), lambda n: F.get("docs", F.least(n, F.lit(2**31 - 1)).cast("int") - 1)["vec_id"]), lambda v: v.isNotNull()).alias("citations"),
     )).alias("sentences"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -16,6 +17,8 @@ from ..session import spread
 
 #: Bytes of JSON indexed at once, about.
 BLOCK = 2_000_000
+#: Numbers of a range that travel in one row; longer ranges are several.
+SPAN = 4096
 
 
 class Citations(NamedTuple):
@@ -30,9 +33,7 @@ class Citations(NamedTuple):
 
 def _unwrapped(text: str) -> bytes:
     """The text, or, if it is a JSON string, what that string holds."""
-    for _ in range(4):
-        if text.lstrip()[:1] != '"':
-            break
+    while text.lstrip()[:1] == '"':
         try:
             inner = json.loads(text)
         except ValueError:
@@ -132,20 +133,22 @@ def _plain(scalar: str) -> str:
     return "" if scalar in ("null", "true", "false") else scalar
 
 
-def numbers(text: str) -> list[str]:
-    """Numbers in a list of numbers and ranges such as `3, 5-7`; a range stands for each number in it, none if reversed."""
-    out: list[str] = []
+def spans(text: str) -> Iterator[tuple[int, int]]:
+    """First and last of the runs of numbers in a list of numbers and ranges such as `3, 5-7`; none for a reversed range.
+
+    A run has SPAN numbers at most; runs are given one by one, however wide a range is. Numbers of more than 18 digits
+    number no paragraph.
+    """
     for part in text.replace(";", ",").split(","):
         ends = [x.strip() for x in part.replace("–", "-").replace("—", "-").split("-")]
-        if len(ends) == 1 and ends[0].isdecimal():
-            out.append(str(int(ends[0])))
-        elif len(ends) == 2 and ends[0].isdecimal() and ends[1].isdecimal():
-            out += [str(k) for k in range(int(ends[0]), int(ends[1]) + 1)]
-    return out
+        if len(ends) <= 2 and all(e.isdecimal() and len(e.lstrip("0")) <= 18 for e in ends):
+            first, last = int(ends[0]), int(ends[-1])
+            for low in range(first, last + 1, SPAN):
+                yield low, min(low + SPAN - 1, last)
 
 
-def paragraphs(c: Citations) -> list[tuple[int, str]]:
-    """(position in c, paragraph number) of each paragraph of the citations."""
+def paragraphs(c: Citations) -> Iterator[tuple[int, int, int]]:
+    """(position in c, first, last) of each run of paragraph numbers of the citations."""
     index = c.index
     nth = _lookup(c.token, np.arange(len(c.token)), len(index.kind))
     holder = index.named(index.inside(c.token), "citation_paragraphs")
@@ -153,13 +156,12 @@ def paragraphs(c: Citations) -> list[tuple[int, str]]:
     inner = index.inside(holder[index.kind[holder] == OPEN_ARRAY])
     inner = inner[np.isin(index.kind[inner], (STRING, SCALAR))]
     owner = np.r_[nth[index.parent[single]], nth[index.parent[index.parent[inner]]]]
-    out: list[tuple[int, str]] = []
     for t, o in zip(np.r_[single, inner].tolist(), owner.tolist()):
         raw = index.text(t)
         if index.kind[t] == SCALAR and raw.endswith(".0"):
             raw = raw[:-2]
-        out += [(o, k) for k in numbers(raw)]
-    return out
+        for low, high in spans(raw):
+            yield o, low, high
 
 
 def lowest_children(pairs: DataFrame) -> DataFrame:
@@ -168,26 +170,30 @@ def lowest_children(pairs: DataFrame) -> DataFrame:
     Columns: guide_id, group_id, grouping_method, model_name, fact_pos int, citation_pos int, child_kind, child_lang,
     child_key. Places count from 0 and count nulls; see answer_citations, languages, paragraphs for the forms taken.
     Null, blank and unreadable answers give no rows, nor do rows with a null in the key. Repeated rows give one. Other
-    columns don't take part. One shuffle, of the distinct rows.
+    columns don't take part. Ranges of numbers leave Python as their ends, SPAN numbers in each, and are laid out row by
+    row after that. One shuffle, of the distinct rows.
     """
     key = ["guide_id", "group_id", "grouping_method", "model_name"]
     rows = spread(pairs.where(" AND ".join(f"{k} IS NOT NULL" for k in key) + " AND answer IS NOT NULL").select(*key, "answer"))
-    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key) + ", fact_pos int, citation_pos int, child_kind string, child_lang string, child_key string"
+    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key) + ", fact_pos int, citation_pos int, child_lang string, child_key string, low long, high long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for numbers_, index in blocks(batch.column("answer").to_pylist()):
                 c = answer_citations(numbers_, index)
-                found = [(i, "language", lang, key_) for i, lang, key_ in languages(c)]
-                found += [(i, "paragraph", "", key_) for i, key_ in paragraphs(c)]
-                nth = np.array([f[0] for f in found], dtype=np.int64)
-                at = pa.array(c.row[nth] if len(nth) else nth)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(at) for k in key), pa.array(c.fact[nth].astype(np.int32)), pa.array(c.place[nth].astype(np.int32)), *(pa.array([f[i] for f in found], pa.string()) for i in (1, 2, 3))],
-                    names=[*key, "fact_pos", "citation_pos", "child_kind", "child_lang", "child_key"],
-                )
-
-    return rows.mapInArrow(run, schema).distinct()
+                told = ((i, lang, key_, 0, 0) for i, lang, key_ in languages(c))
+                told = itertools.chain(told, ((i, "", None, low, high) for i, low, high in paragraphs(c)))
+                while found := list(itertools.islice(told, 200_000)):
+                    nth = np.array([f[0] for f in found], dtype=np.int64)
+                    at = pa.array(c.row[nth])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(k).take(at) for k in key), pa.array(c.fact[nth].astype(np.int32)), pa.array(c.place[nth].astype(np.int32)), *(pa.array([f[i] for f in found], kind) for i, kind in ((1, pa.string()), (2, pa.string()), (3, pa.int64()), (4, pa.int64())))],
+                        names=[*key, "fact_pos", "citation_pos", "child_lang", "child_key", "low", "high"],
+                    )
+
+    flat = rows.mapInArrow(run, schema).withColumn("n", F.explode(F.sequence("low", "high")))
+    kind = F.when(F.col("child_key").isNull(), "paragraph").otherwise("language").alias("child_kind")
+    return flat.select(*key, "fact_pos", "citation_pos", kind, "child_lang", F.coalesce("child_key", F.col("n").cast("string")).alias("child_key")).distinct()
 
 
 def node_table(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:

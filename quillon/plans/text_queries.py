@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.urls import normal_url, normal_urls
 from ..operators import citations as C
 from ..operators.guides import split_paragraphs
 from ..session import table
@@ -83,7 +84,7 @@ SELECT url, normal, CASE WHEN contains(normal, '?i=') THEN split_part(split_part
 def url_normalise(spark: SparkSession, d: str) -> DataFrame:
     urls = table(spark, d, "citation_extractions").select(F.explode(F.regexp_extract_all("citations", F.lit(r'"original_url": "((?:[^"\\]|\\.)*)"'), 1)).alias("raw")).distinct()
     urls = urls.select(F.replace("raw", F.lit('\\"'), F.lit('"')).alias("url"))
-    normal = urls.withColumn("normal", X.normal_url(F.col("url")))
+    normal = urls.withColumn("normal", normal_url(F.col("url")))
     return normal.withColumn("case_id", X.case_id_of(F.col("normal")))
 
 
@@ -273,7 +274,8 @@ def citations_merged(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def link_validation(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "citation_extractions").select("guide_id", "paragraph_id", "paragraph_text", "citations", "sentences").distinct()
-    urls = F.transform(F.flatten(C.citation_lists(F.col("citations"))), lambda c: X.normal_url(C.url_of(c)))
-    links = F.filter(F.transform(C.paragraph_links(F.col("paragraph_text")), X.normal_url), lambda u: u.startswith("https://hudoc."))
-    v = rows.select("guide_id", "paragraph_id", C.link_mismatches(urls, links).alias("v"), F.size(X.link_targets(F.col("sentences"))).alias("left"))
+    urls = normal_urls(F.transform(F.flatten(C.citation_lists(F.col("citations"))), C.url_of))
+    rows = rows.withColumn("urls", urls).withColumn("links", normal_urls(C.paragraph_links(F.col("paragraph_text"))))
+    links = F.filter("links", lambda u: u.startswith("https://hudoc."))
+    v = rows.select("guide_id", "paragraph_id", C.link_mismatches(F.col("urls"), links).alias("v"), F.size(X.link_targets(F.col("sentences"))).alias("left"))
     return v.select("guide_id", "paragraph_id", "v.mismatched", "v.unconsumed", "left")

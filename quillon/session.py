@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or, where that is unset (tests), a new local one."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or, where that is unset on a local master (tests), a new local one.
+
+    On a cluster an unset folder is an error: what one executor wrote to its own disk the others would not find.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_quillon_scratch", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {sc.master})")
         folder = tempfile.mkdtemp(prefix="quillon-")
         sc._quillon_scratch = folder
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -43,23 +48,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Operators that bring a shuffle, after which the number of partitions is chosen at run time.
-_SHUFFLING = re.compile(r"(?m)^[\s:+\-|]*(?:Aggregate|Join|Repartition\w*|Rebalance\w*|Window\w*|Sort|GlobalLimit|LocalLimit|Distinct|Deduplicate\w*|Intersect|Except)\b")
-
+def spread(df: DataFrame, scanned: bool = True) -> DataFrame:
+    """df in at least as many partitions as there are cores; df itself where its scan has them.
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores; df itself when its scan has them or it comes from a shuffle.
-
-    For scans feeding Python work: a table of one small file would otherwise occupy one core. Counting partitions runs
-    nothing, as plans with a shuffle are left alone.
+    For scans feeding Python work: a table of one small file would otherwise occupy one core. Give scanned=False for
+    what comes out of a shuffle, whose partitions are chosen at run time: counting them would run it.
     """
-    execution = df._jdf.queryExecution()
-    if _SHUFFLING.search(execution.optimizedPlan().toString()):
+    if not scanned:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if execution.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quillon.functions.jsonindex import Index
-from quillon.operators.nested import lowest_children, node_table, numbers
+from quillon.operators.nested import SPAN, lowest_children, node_table, spans
 
 KEY = "guide_id string, group_id int, question string, answer string, grouping_method string, model_name string, pos int, row int"
 
@@ -50,9 +50,23 @@ def test_repeats_nulls_and_empty(spark):
     assert lowest_children(nulls).count() == 0
 
 
-def test_numbers():
+def numbers(text):
+    return [str(k) for low, high in spans(text) for k in range(low, high + 1)]
+
+
+def test_numbers(spark):
     assert numbers("3, 5–7;9") == ["3", "5", "6", "7", "9"]
-    assert numbers("7-5") == numbers("x") == numbers("") == []
+    assert numbers("7-5") == numbers("x") == numbers("") == numbers("9" * 5000) == []
+    assert next(spans("1-999999999999999")) == (1, SPAN)  # wide ranges come piece by piece
+    wide = json.dumps([{"citations": [{"citation_paragraphs": [f"1-{3 * SPAN + 5}", "7"]}]}])
+    assert {int(r["child_key"]) for r in lowest_children(answers(spark, [wide])).collect()} == set(range(1, 3 * SPAN + 6))
+
+
+def test_an_answer_wrapped_in_strings_any_number_of_times(spark):
+    text = '[{"citations": [{"citation_paragraphs": [1]}]}]'
+    for _ in range(9):
+        text = json.dumps(text)
+    assert lowest_children(answers(spark, [text])).count() == 1
 
 
 def test_node_table_rebuilds_the_document(spark):
