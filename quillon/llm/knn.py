@@ -2,8 +2,8 @@
 
 An inverted file: coarse centroids cut the vectors into cells, a product quantiser codes what is left of each vector in
 a few bytes. A cell's vectors search their own cell and the nearest others together, so what travels to a cell are
-codes, never whole vectors: the search ranks by asymmetric distance (whole query, coded candidate) and keeps the best
-few; only these, once for each cell that wants them, are fetched whole and ranked exactly.
+codes, never whole vectors: the search adds up asymmetric distance tables (whole query, coded candidate) and keeps the
+best few. These are ranked exactly where they live: the query goes to their cells, which are seldom more than two.
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 from ..session import spread, stored
 
 DIM = 96
-#: Vectors the index is fitted on at most (those of least hash of their query); every vector is indexed.
-SAMPLE = 30_000
-#: Cells at most.
-CELLS = 4096
+#: Vectors the index is fitted on at most (those of least hash of their id): this many, or so many for each cell; every vector is indexed.
+SAMPLE, SAMPLED_PER_CELL = 30_000, 8
 #: Cells searched for each vector at least, candidates that must lie in them at least, candidates ranked exactly.
-PROBES, REACH, RERANKED = 10, 512, 64
+PROBES, REACH, RERANKED = 10, 512, 32
 #: Bytes of a code.
 CODE = 48
-#: Queries and coded candidates in one group at most, about.
-BLOCK, CHUNK = 2048, 200_000
+#: Vectors of a cell and coded candidates in one group at most, about.
+BLOCK, CHUNK = 16_384, 200_000
+#: Centroids up to which they are fitted at once.
+AT_ONCE = 1024
 
 
 def usable(embedding: Column, dim: int = DIM) -> Column:
@@ -61,6 +61,14 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 4096] @ centers.T - half).argmax(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, dtype=np.int64)])
 
 
+def _centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """k centroids of unit length, about; many are fitted in two levels, each part getting its share."""
+    if k <= AT_ONCE:
+        return _kmeans(x, k, spherical=True)
+    home = _nearest(x, _kmeans(x, round(math.sqrt(k)), spherical=True))
+    return np.concatenate([_kmeans(part, max(1, round(k * len(part) / len(x))), spherical=True) for c in np.unique(home) for part in [x[home == c]]])
+
+
 class Index(NamedTuple):
     """Fitted centroids (cells x dim) and codebooks (CODE x 256 x dim/CODE)."""
 
@@ -69,11 +77,15 @@ class Index(NamedTuple):
 
     @classmethod
     def fit(cls, x: np.ndarray, cells: int) -> Index:
-        coarse = _kmeans(x, cells, spherical=True)
+        coarse = _centroids(x, cells)
         rest = x - coarse[_nearest(x, coarse)]
         part = rest.shape[1] // CODE
         books = [_kmeans(np.ascontiguousarray(rest[:, i * part : (i + 1) * part]), 256, rounds=6) for i in range(CODE)]
-        return cls(coarse, np.stack(books))
+        full = np.zeros((CODE, 256, part), dtype=np.float32)
+        for i, b in enumerate(books):
+            full[i, : len(b)] = b
+            full[i, len(b) :] = b[0]
+        return cls(coarse, full)
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and code of each row."""
@@ -83,9 +95,31 @@ class Index(NamedTuple):
         codes = [_nearest(np.ascontiguousarray(rest[:, i * part : (i + 1) * part]), self.books[i]) for i in range(CODE)]
         return cell.astype(np.int32), np.stack(codes, axis=1).astype(np.uint8)
 
-    def coded(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """What the codes stand for. Its product with the queries is the sum over the asymmetric distance tables of each."""
-        return self.coarse[cell] + np.concatenate([self.books[i][codes[:, i]] for i in range(CODE)], axis=1)
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Asymmetric distance tables: the product of each query's part with each entry of that part's codebook (CODE x 256 x queries)."""
+        part = q.shape[1] // CODE
+        return np.stack([self.books[i] @ q[:, i * part : (i + 1) * part].T for i in range(CODE)])
+
+    def scores(self, q: np.ndarray, tables: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Similarity (candidates x queries) of coded candidates, summed over the tables."""
+        near, which = np.unique(cell, return_inverse=True)
+        out = (self.coarse[near] @ q.T)[which]
+        step = np.empty_like(out)
+        for i in range(CODE):
+            np.take(tables[i], codes[:, i], axis=0, out=step, mode="clip")
+            out += step
+        return out
+
+
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a column of lists, at length 1."""
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # against overflow
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
 def _floats(column: pd.Series, dim: int) -> np.ndarray:
@@ -102,141 +136,160 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.broadcast_to(np.arange(scores.shape[1]), scores.shape) if scores.shape[1] <= k else np.argpartition(-scores, k - 1, axis=1)[:, :k]
 
 
+class _Plan(NamedTuple):
+    """Which cells search which: for each cell the (home, chunks) that want its codes, flattened with their number; parts of each cell."""
+
+    homes: np.ndarray
+    chunks: np.ndarray
+    times: np.ndarray
+    blocks: np.ndarray
+    split: np.ndarray
+
+    @classmethod
+    def of(cls, coarse: np.ndarray, sizes: np.ndarray, probes: int) -> _Plan:
+        cells = len(coarse)
+        wanted_by: list[list[tuple[int, int]]] = [[] for _ in range(cells)]
+        blocks, split = np.maximum(-(-sizes // BLOCK), 1), np.ones(cells, dtype=np.int64)
+        for home in np.flatnonzero(sizes).tolist():
+            near = np.argsort(-(coarse @ coarse[home]), kind="stable")
+            near = np.concatenate([[home], near[near != home]])
+            near = near[: max(probes, int(np.searchsorted(np.cumsum(sizes[near]), REACH)) + 1)]
+            split[home] = -(-int(sizes[near].sum()) // CHUNK)
+            for c in near.tolist():
+                if sizes[c]:
+                    wanted_by[c].append((home, int(split[home])))
+        flat = np.array([w for ws in wanted_by for w in ws], dtype=np.int64).reshape(-1, 2)
+        return cls(flat[:, 0], flat[:, 1], np.array([len(w) for w in wanted_by], dtype=np.int64), blocks.astype(np.int64), split)
+
+    def block(self, vid: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        return (vid // 7) % self.blocks[cell]
+
+
 def neighbours(vectors: DataFrame, k: int = 5, id_col: str = "query", vector_col: str = "embedding", dim: int = DIM, probes: int = PROBES, reranked: int = RERANKED) -> DataFrame:
     """Rows (a, b) of ids, a < b: pairs of which at least one is among the k most similar (by cosine) of the other.
 
     Rows with a null id or an unusable vector take no part; of rows that share an id one counts, that of the least
     usable vector. Ties at the k-th place go to the vector of lower internal number. With fewer than k + 1 vectors each
-    has all others; an empty table gives no rows. Other columns don't take part. The index is fitted on at most SAMPLE
-    vectors; all are indexed and searched. The driver gets the sample and a number for each cell.
+    has all others; an empty table gives no rows. Other columns don't take part. There are as many cells as the root of
+    the number of vectors, so that a cell, what it searches and how often a code is copied (once for each cell that
+    searches its own) stay in proportion; a cell of more than BLOCK vectors is split. The index is fitted on at most
+    SAMPLE vectors or SAMPLED_PER_CELL for each cell; all are indexed and searched. The driver gets the sample and a
+    number for each cell.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     pairs = f"a {kind}, b {kind}"
     base = stored(
-        spread(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")))
+        spread(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")))
         .where(F.col("id").isNotNull() & usable(F.col("v"), dim)).groupBy("id").agg(F.min("v").alias("v"))
         .withColumn("vid", F.monotonically_increasing_id())
     )
     n = base.count()
     if n < 2:
         return spark.createDataFrame([], pairs)
-    sample = base.select(F.xxhash64("id").alias("h"), "v").orderBy("h").limit(SAMPLE).toPandas()
-    x = np.array(sample["v"].tolist(), dtype=np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    fitted = Index.fit(x, min(CELLS, max(1, round(math.sqrt(n)))))
-    del sample, x
+    cells = max(1, round(math.sqrt(n)))
+    some = base.select(F.xxhash64("id").alias("h"), "vid", "v").orderBy("h", "vid").limit(max(SAMPLE, SAMPLED_PER_CELL * cells)).select("v").toArrow()
+    fitted = Index.fit(_unit(some.column("v").combine_chunks(), dim), cells)
+    del some
     index = spark.sparkContext.broadcast(fitted)
 
-    def assign(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.array(pdf["v"].tolist(), dtype=np.float64)
-            v /= np.abs(v).max(axis=1, keepdims=True)  # against overflow
-            v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-            cell, codes = index.value.code(v)
-            yield pd.DataFrame({"vid": pdf["vid"], "cell": cell, "code": [c.tobytes() for c in codes], "v": [r.tobytes() for r in v]})
-
-    coded = stored(base.select("vid", "v").mapInPandas(assign, "vid long, cell int, code binary, v binary"))
-    cells = len(fitted.coarse)
-    sizes = np.zeros(cells, dtype=np.int64)
-    for r in coded.groupBy("cell").count().collect():
-        sizes[r["cell"]] = r["count"]
-    # the cells that each cell searches, nearest first, and the reverse
-    plan: dict[int, list[tuple[int, int, int]]] = {c: [] for c in range(cells)}
-    split = []
-    for home in range(cells):
-        if not sizes[home]:
-            continue
-        near = np.argsort(-(fitted.coarse @ fitted.coarse[home]), kind="stable")
-        near = np.concatenate([[home], near[near != home]])
-        reach = np.cumsum(sizes[near])
-        near = near[: max(probes, int(np.searchsorted(reach, REACH)) + 1)]
-        blocks, chunks = -(-int(sizes[home]) // BLOCK), -(-int(sizes[near].sum()) // CHUNK)
-        split.append((home, blocks, chunks))
-        for c in near.tolist():
-            if sizes[c]:
-                plan[c].append((home, blocks, chunks))
-    routes = [r for c in range(cells) for r in plan[c]]
-    n_routes = np.array([len(plan[c]) for c in range(cells)], dtype=np.int64)
-    plan_shared = spark.sparkContext.broadcast((np.array(routes, dtype=np.int64).reshape(-1, 3), n_routes, {h: (b, c) for h, b, c in split}))
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, times = np.unique(_nearest(_unit(batch.column("v"), dim), index.value.coarse), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(times, pa.int64())], names=["cell", "n"])
+
+    sizes = np.zeros(len(fitted.coarse), dtype=np.int64)
+    for r in base.select("v").mapInArrow(home, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        sizes[r["cell"]] = r["n"]
+    plan = spark.sparkContext.broadcast(_Plan.of(fitted.coarse, sizes, probes))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Codes to every group that searches them."""
-        route, times, _ = plan_shared.value
-        begin = np.cumsum(times) - times
+        p = plan.value
+        begin = np.cumsum(p.times) - p.times
         for batch in batches:
-            cell = batch.column("cell").to_numpy()
-            row = np.repeat(np.arange(len(cell)), times[cell])
-            way = begin[cell[row]] + _within(times[cell])
-            blocks = route[way, 1]
+            cell, codes = index.value.code(_unit(batch.column("v"), dim))
+            vid = batch.column("vid").to_numpy()
+            row = np.repeat(np.arange(len(cell)), p.times[cell])
+            way = begin[cell[row]] + _within(p.times[cell])
+            blocks = p.blocks[p.homes[way]]
             block = _within(blocks)
             row, way = np.repeat(row, blocks), np.repeat(way, blocks)
-            vid = batch.column("vid").to_numpy()[row]
-            at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route[way, 0].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array((vid % route[way, 2]).astype(np.int32)), pa.array(vid), batch.column("cell").take(at), batch.column("code").take(at)],
+                [pa.array(p.homes[way].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array((vid[row] % p.chunks[way]).astype(np.int32)), pa.array(vid[row]), pa.array(cell[row]), _binary(codes[row])],
                 names=["home", "block", "chunk", "vid", "cell", "code"],
             )
 
-    def ask(batches):  # noqa: ANN001, ANN202
-        """Queries to every chunk of their own cell's search."""
-        groups = plan_shared.value[2]
-        for pdf in batches:
-            blocks = pdf["cell"].map(lambda c: groups[c][0])
-            chunks = pdf["cell"].map(lambda c: groups[c][1])
-            rows = pd.DataFrame({"home": pdf["cell"], "block": (pdf["vid"] // 7) % blocks, "vid": pdf["vid"], "v": pdf["v"]})
-            for chunk in range(int(chunks.max()) if len(chunks) else 0):
-                yield rows[chunks > chunk].assign(chunk=chunk)[["home", "block", "chunk", "vid", "v"]]
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries to every chunk of their own cell's search; chunk 0 is also where the cell's vectors lie."""
+        p = plan.value
+        for batch in batches:
+            v, vid = _unit(batch.column("v"), dim), batch.column("vid").to_numpy()
+            cell = _nearest(v, index.value.coarse)
+            row = np.repeat(np.arange(len(cell)), p.split[cell])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell[row].astype(np.int32)), pa.array(p.block(vid, cell)[row].astype(np.int32)), pa.array(_within(p.split[cell]).astype(np.int32)), pa.array(vid[row]), _binary(v[row])],
+                names=["home", "block", "chunk", "vid", "v"],
+            )
 
     def search(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        """The best candidates of each query by asymmetric distance; in a row without vid all that the group wants."""
+        """The best candidates of each query by asymmetric distance, by the cell and block where they lie; v only where that isn't the query's own."""
         if not len(queries) or not len(codes):
-            return pd.DataFrame({"home": [], "block": [], "vid": [], "v": [], "found": []})
-        q = _floats(queries["v"], dim)
-        vid = codes["vid"].to_numpy(np.int64)
-        own = queries["vid"].to_numpy(np.int64)
-        stand = index.value.coded(codes["cell"].to_numpy(), np.frombuffer(b"".join(codes["code"]), dtype=np.uint8).reshape(-1, CODE))
-        best_s, best_i = np.full((len(q), 0), 0, dtype=np.float32), np.zeros((len(q), 0), dtype=np.int64)
-        for at in range(0, len(stand), 8192):
-            scores = q @ stand[at : at + 8192].T
-            scores[own[:, None] == vid[None, at : at + 8192]] = -9
-            top = _top(scores, reranked)
-            best_s = np.concatenate([best_s, np.take_along_axis(scores, top, 1)], axis=1)
-            best_i = np.concatenate([best_i, vid[at : at + 8192][top]], axis=1)
-            keep = _top(best_s, reranked)
-            best_s, best_i = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_i, keep, 1)
-        home, block = int(queries["home"].iloc[0]), int(queries["block"].iloc[0])
-        found = [[*row] for row in best_i]
-        wanted = np.unique(best_i)
-        return pd.DataFrame({"home": home, "block": block, "vid": pd.array([*own.tolist(), None], dtype="Int64"), "v": [*queries["v"], None], "found": [*found, wanted]})
+            return pd.DataFrame({"cell": [], "block": [], "vid": [], "v": [], "found": []})
+        ix, p = index.value, plan.value
+        codes = codes.sort_values("vid", ignore_index=True)
+        vid, cell = codes["vid"].to_numpy(np.int64), codes["cell"].to_numpy(np.int64)
+        code = np.frombuffer(b"".join(codes["code"]), dtype=np.uint8).reshape(-1, CODE)
+        whole, asked = _floats(queries["v"], dim), queries["vid"].to_numpy(np.int64)
+        place = np.stack([cell, p.block(vid, cell)], axis=1)
+        out: list[tuple] = []
+        own_place = (int(queries["home"].iloc[0]), int(queries["block"].iloc[0]))
+        for first in range(0, len(whole), 256):
+            q, own = whole[first : first + 256], asked[first : first + 256]
+            tables = ix.tables(q)
+            best_s, best_i = np.zeros((len(q), 0), dtype=np.float32), np.zeros((len(q), 0), dtype=np.int64)
+            for at in range(0, len(vid), 4096):
+                end = min(at + 4096, len(vid))
+                scores = np.concatenate([ix.scores(q, tables, cell[i : min(i + 1024, end)], code[i : min(i + 1024, end)]) for i in range(at, end, 1024)]).T
+                self_ = np.searchsorted(vid[at:end], own)
+                hit = np.flatnonzero((self_ < end - at) & (vid[at:end][np.minimum(self_, end - at - 1)] == own))
+                scores[hit, self_[hit]] = -9
+                top = _top(scores, reranked)
+                best_s = np.concatenate([best_s, np.take_along_axis(scores, top, 1)], axis=1)
+                best_i = np.concatenate([best_i, at + top], axis=1)
+                keep = _top(best_s, reranked)
+                best_s, best_i = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_i, keep, 1)
+            for i, row in enumerate(best_i):
+                row = row[vid[row] != own[i]]
+                where, which = np.unique(place[row], axis=0, return_inverse=True)
+                for j, (c, b) in enumerate(where.tolist()):
+                    out.append((c, b, int(own[i]), None if (c, b) == own_place else q[i].tobytes(), vid[row[which.ravel() == j]].tolist()))
+        return pd.DataFrame(out, columns=["cell", "block", "vid", "v", "found"])
 
     group = ["home", "block", "chunk"]
-    queries = coded.select("vid", "cell", "v").mapInPandas(ask, "home int, block int, chunk int, vid long, v binary").groupBy(*group)
-    codes = coded.select("vid", "cell", "code").mapInArrow(send, "home int, block int, chunk int, vid long, cell int, code binary").groupBy(*group)
-    candidates = stored(queries.cogroup(codes).applyInPandas(search, "home int, block int, vid long, v binary, found array<long>"))
-    wanted = candidates.where("vid IS NULL").select(F.col("home").alias("h"), F.col("block").alias("b"), F.explode("found").alias("vid"))
-    fetched = wanted.join(coded.select("vid", "v"), "vid").select("h", "b", "vid", F.col("v").alias("whole"))
-
-    def rank(asked: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
-        whole = whole.drop_duplicates("vid").sort_values("vid")
-        if not len(asked) or not len(whole):
-            return pd.DataFrame({"x": [], "y": []})
-        ids, vectors_ = whole["vid"].to_numpy(np.int64), _floats(whole["whole"], dim).astype(np.float64)
-        out_x, out_y = [], []
-        for vid, v, found in asked.itertuples(index=False):
-            at = np.searchsorted(ids, np.unique(found))
-            at = at[ids[at] != vid]
-            scores = vectors_[at] @ np.frombuffer(v, dtype=np.float32).astype(np.float64)
-            best = ids[at[np.argsort(-scores, kind="stable")[:k]]]
-            out_x += [vid] * len(best)
-            out_y += best.tolist()
-        return pd.DataFrame({"x": out_x, "y": out_y})
-
-    # the chunks of a group's search come together here
-    asked = candidates.where("vid IS NOT NULL").groupBy("home", "block", "vid").agg(F.min("v").alias("v"), F.flatten(F.collect_list("found")).alias("found")) if any(c > 1 for _, _, c in split) else candidates.where("vid IS NOT NULL")
-    edges = asked.select("vid", "v", "found", "home", "block").groupBy("home", "block").cogroup(fetched.groupBy("h", "b")).applyInPandas(lambda a, b: rank(a[["vid", "v", "found"]], b), "x long, y long")
+    queries = base.select("vid", "v").mapInArrow(ask, "home int, block int, chunk int, vid long, v binary")
+    codes = base.select("vid", "v").mapInArrow(send, "home int, block int, chunk int, vid long, cell int, code binary").groupBy(*group)
+    visits = queries.groupBy(*group).cogroup(codes).applyInPandas(search, "cell int, block int, vid long, v binary, found array<long>")
+
+    def rank(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        """The k best, by whole vectors, of what each visiting query wants from a cell."""
+        if not len(asked) or not len(there):
+            return pd.DataFrame({"vid": [], "best": []})
+        there = there.sort_values("vid")
+        ids, whole = there["vid"].to_numpy(np.int64), _floats(there["v"], dim).astype(np.float64)
+        best = []
+        for vid, v, found in zip(asked["vid"], asked["v"], asked["found"]):
+            at = np.searchsorted(ids, np.sort(found))
+            query = whole[np.searchsorted(ids, vid)] if v is None else np.frombuffer(v, dtype=np.float32).astype(np.float64)
+            scores = whole[at] @ query
+            order = np.argsort(-scores, kind="stable")[:k]
+            best.append([{"s": -s, "y": y} for s, y in zip(scores[order].tolist(), ids[at[order]].tolist())])
+        return pd.DataFrame({"vid": asked["vid"].to_numpy(), "best": best})
+
+    there = queries.where("chunk = 0").select(F.col("home").alias("cell"), "block", "vid", "v").groupBy("cell", "block")
+    ranked = visits.groupBy("cell", "block").cogroup(there).applyInPandas(rank, "vid long, best array<struct<s:double,y:long>>")
+    # what a query found in several cells or chunks comes together here: k times their number at most
+    edges = ranked.groupBy(F.col("vid").alias("x")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")).select("x", F.explode("best.y").alias("y"))
     edges = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     names = base.select("vid", "id")
     named = edges.join(names.withColumnRenamed("vid", "x").withColumnRenamed("id", "p"), "x").join(names.withColumnRenamed("vid", "y").withColumnRenamed("id", "q"), "y")
