@@ -2,8 +2,9 @@
 
 Sizes are whole numbers up to the capacity, so the items are fully described by how many there are of each size: at
 most `capacity` numbers, however large the corpus. The packer works on these numbers and on patterns (the sizes in one
-container, with how often it is used), so its work doesn't grow with the corpus either. The items then take their
-places by their rank among those of their size, which every partition works out alone from its offset.
+container, with how often it is used), so its work doesn't grow with the corpus either. The items are then ordered by
+size, so that a partition holds few sizes, and take their places by their rank among those of their size, which every
+partition works out alone from its offset.
 """
 
 from __future__ import annotations
@@ -14,17 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .bpe import NAME, TOKENIZERS
 from .encode import count_tokens
 
 #: Tokens in a container.
 CAPACITY = 2048
-#: Partitions of ids and sizes at most; bounds the table of offsets that is sent to the tasks (67 MB at this capacity).
-PARTS = 4096
 
 
 class _Stock:
@@ -126,32 +125,31 @@ def pack(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     room and are spread over the containers in turn. Ties between equal sizes are broken by the position of the row in
     the input. An empty table gives no rows. Other columns don't take part.
 
-    The driver gets at most PARTS x (`capacity` + 2) numbers, whatever the size of the corpus. The items are never
-    shuffled; their ids and sizes are checkpointed, since ranks rest on the rows staying in their partitions.
+    The sizes are taken where the items are, in as many tasks as there are; ids and sizes are then range-partitioned by
+    size and checkpointed, since ranks rest on the rows staying in their partitions. A partition holds a run of sizes,
+    so that the driver gets and sends at most 2 x partitions + `capacity` numbers, whatever the corpus.
     """
     spark = sized.sparkSession
     kind = sized.schema[id_col].dataType.simpleString()
-    items = checkpointed(sized.where(F.col(size_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size")).coalesce(PARTS))
-    rest = F.when(F.col("size") <= capacity, F.col("size")).otherwise(F.col("size") % capacity)
-    # full containers of an item count under -1
-    tagged = items.select(F.spark_partition_id().alias("part"), rest.alias("rest"), F.when(F.col("size") > capacity, F.floor(F.col("size") / capacity)).otherwise(0).alias("full"))
-    per_part = checkpointed(
-        tagged.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
-        .selectExpr("part", "stack(2, rest, n, -1L, full) AS (size, n)")
-        .groupBy("part", "size").agg(F.sum("n").alias("n"))
-    )
-    totals = {r["size"]: r["n"] for r in per_part.groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    full = totals.pop(-1, 0)
-    nothing = totals.pop(0, 0)
-    places, containers = _places(best_two_fit(totals, capacity), full)
+    last = F.when(F.col("size") <= capacity, F.col("size")).otherwise(F.col("size") % capacity)
+    taken = stored(sized.where(F.col(size_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size"), F.monotonically_increasing_id().alias("pos")))
+    items = checkpointed(taken.withColumn("rest", last).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "rest", "pos").select("id", "size", "rest"))
+    full = F.when(F.col("size") > capacity, F.floor(F.col("size") / capacity)).otherwise(0)
+    # full containers of items count under -1
+    counts = items.groupBy(F.spark_partition_id().alias("part"), "rest").agg(F.count("*").alias("n"), F.sum(full).alias("full")).collect()
+    totals: Counter = Counter()
+    starts: dict[int, dict[int, int]] = {}  # of each partition: how many of a size stand before it
+    for r in sorted(counts):
+        mine = starts.setdefault(r["part"], {-1: totals[-1]})
+        mine[r["rest"]] = totals[r["rest"]]
+        totals[r["rest"]] += r["n"]
+        totals[-1] += r["full"]
+    full_ones, nothing = totals.pop(-1, 0), totals.pop(0, 0)
+    places, containers = _places(best_two_fit(totals, capacity), full_ones)
     if nothing and not containers:
         containers = 1
     shared = spark.sparkContext.broadcast(places)
-    offsets = per_part.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = np.zeros((PARTS, capacity + 2), dtype=np.int64)  # of each partition, by size + 1
-    for r in offsets.select("part", "size", "before").toLocalIterator():
-        starts[r["part"], r["size"] + 1] = r["before"]
-    starts_shared = spark.sparkContext.broadcast(starts[: items.rdd.getNumPartitions()])
+    starts_shared = spark.sparkContext.broadcast(starts)
     local = items.withColumn("part", F.spark_partition_id())
     out = f"id {kind}, piece int, tok_start long, n_tokens long, container long, at long"
 
@@ -170,7 +168,7 @@ def pack(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
             order = np.argsort(last, kind="stable")
             values, begin = np.unique(last[order], return_index=True)
             for value, rows in zip(values.tolist(), np.split(order, begin[1:])):
-                rank = mine[value + 1] + seen[value] + np.arange(len(rows))
+                rank = mine[value] + seen[value] + np.arange(len(rows))
                 seen[value] += len(rows)
                 if value == 0:
                     container[rows] = rank % containers
@@ -185,7 +183,7 @@ def pack(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
             if big.any():
                 where = np.repeat(np.arange(len(pdf)), n_full)
                 piece = np.arange(len(where)) - np.repeat(np.cumsum(n_full) - n_full, n_full)
-                number = mine[0] + seen[-1] + np.arange(len(where))
+                number = mine[-1] + seen[-1] + np.arange(len(where))
                 seen[-1] += len(where)
                 cut = pd.DataFrame({"id": pdf["id"].to_numpy()[where], "piece": piece.astype(np.int32), "tok_start": piece * capacity, "n_tokens": capacity, "container": number, "at": 0})
                 whole = pd.concat([whole, cut], ignore_index=True)

@@ -14,7 +14,7 @@ from .knn import similar_queries
 from .packing import pack_documents
 from .pairs import broken_pairs
 from .sentences import task_sentences
-from .tokens import corpus_budget
+from .tokens import corpus_budget, document_tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,10 @@ def p2_budget(spark: SparkSession, d: str) -> DataFrame:
     return corpus_budget(table(spark, d, "documents"), table(spark, d, "question_generations"), table(spark, d, "guides"))
 
 
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    return document_tokens(table(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_queries(table(spark, d, "query_embeddings"))
 
@@ -50,7 +54,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_budget, p5_found, p6_found, p7_ids, p8_containers, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p2_budget, p2_documents, p5_found, p6_found, p7_ids, p8_containers, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

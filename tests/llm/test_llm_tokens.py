@@ -6,6 +6,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from quillon.llm import tokens
 from quillon.llm.bpe import PIECES, vocabulary
 from quillon.llm.encode import count_tokens, encode_corpus
 from quillon.llm.packing import best_two_fit, pack, pack_documents
@@ -72,6 +73,18 @@ def test_corpus_budget(spark):
     assert corpus_budget(docs.limit(0), pairs.limit(0), guides.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [100_000, 50, 0])
+def test_counts_by_document_are_those_of_the_encoder(spark, monkeypatch, hot):
+    """However few pieces are sent to the tasks, and with odd texts among the documents."""
+    monkeypatch.setattr(tokens, "HOT", hot)
+    v = vocabulary()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(ODD)] + [(-100, None), (None, "a b")], "doc_id long, text string")
+    every = docs.union(odd).withColumn("piece", F.lit(1))
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.document_tokens(every).collect()}
+    assert got == {r["doc_id"]: v.count(r["text"]) for r in every.collect() if r["text"] is not None}
+
+
 def test_language_spellings(spark):
     df = spark.createDataFrame([("EN",), (" fra ",), ("ron",), ("xx",), ("",), (None,)], "c string")
     assert [r[0] for r in df.select(language(F.col("c"))).collect()] == ["eng", "fre", "ron", "xx", None, None]
@@ -106,6 +119,18 @@ def test_packing_holds_every_item_whole(spark, seed):
     assert used <= 1.03 * sum(sizes.values()) / 100 + 2
 
 
+def test_packing_sizes_over_many_partitions(spark):
+    """One size holds a third of the items; partitions hold runs of sizes, whatever the capacity."""
+    rnd = random.Random(9)
+    sizes = {i: 700 if i % 3 == 0 else rnd.randint(0, 140_000) for i in range(3000)}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        used = check(pack(spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long").repartition(9), capacity=131_072).collect(), sizes, 131_072)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert used <= 1.03 * sum(sizes.values()) / 131_072 + 2
+
+
 def test_packing_small_cases(spark):
     schema = "doc_id long, n_tokens long"
     assert pack(spark.createDataFrame([], schema)).count() == 0
