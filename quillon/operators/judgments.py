@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 
-# Style properties that tell a headline, size in pt of normal text, share of paragraphs that may be headlines.
-PROPERTIES = ("font-weight", "font-size", "text-transform", "font-variant", "font-style", "mso-style-name")
+# Style properties that tell a headline; size in pt of normal text; share of paragraphs that larger type may remove; letters of a headline.
+PROPERTIES = ("font-weight", "font-size", "text-transform", "font-variant", "font-variant-caps", "font")
 NORMAL_PT, MOST_SHARE, LETTERS = 12.0, 0.30, 5
-HEADING_CLASS = re.compile(r"(?i)\b(?:heading|title|headline|h[1-6])")
+# Classes and style names of headings; how a paragraph's number is marked, best first (n the number, last its last digit).
+HEADING_CLASS = re.compile(r"(?i)\b(?:(?:mso)?heading\d+|(?:mso)?(?:sub)?title)\b")
+HEADING_STYLE = re.compile(r"(?i)mso-style-name\s*:\s*['\"]?\s*(?:heading\s*\d+|(?:sub)?title)\b")
+MARKS = (r"\n{n}\s?\.", r"(?<![\d/]){n}\s?\.", r"(?<![\d/.]){n}(?![/.])", r"\n{n}{last}\.")
 VOID = {"br", "img", "hr", "meta", "link", "input", "col", "area", "base", "wbr"}
 CLOSES_P = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "section"}
 
@@ -60,31 +63,42 @@ class _Builder(HTMLParser):
 
 
 def style_of(text: str) -> dict[str, str]:
-    """Inline style; the weight and size of a `font` shorthand count as their own properties."""
+    """Declarations of a style; the weight and size in a `font` shorthand count where they aren't set themselves."""
     out: dict[str, str] = {}
     for part in text.split(";"):
         name, mark, value = part.partition(":")
-        name, value = name.strip().lower(), value.strip().lower()
-        if not mark:
-            continue
-        if name == "font":
-            for word in value.split():
-                if word in ("bold", "bolder") or word.isdigit() and len(word) == 3:
-                    out["font-weight"] = word
-                elif re.match(r"[\d.]+(?:pt|px)", word):
-                    out["font-size"] = word.split("/")[0]
-        else:
-            out[name] = value
+        if mark and value.strip():
+            out[name.strip().lower()] = value.strip().lower()
+    for word in re.split(r"[\s/]+", out.get("font", "")):
+        if word in ("bold", "bolder", "lighter") or re.fullmatch("[1-9]00", word):
+            out.setdefault("font-weight", word)
+        elif word.endswith(("pt", "px")):
+            out.setdefault("font-size", word)
     return out
 
 
 def points(value: str | None) -> float | None:
-    m = re.fullmatch(r"\s*([\d.]+)\s*(pt|px)\s*", value or "")
-    return float(m[1]) * (0.75 if m[2] == "px" else 1) if m and m[1].count(".") < 2 and m[1] != "." else None
+    """The first size in pt or px of a value, in pt; None if there is none."""
+    m = re.search(r"(\d*\.?\d+)\s*(pt|px)", value or "")
+    return float(m[1]) * (0.75 if m[2] == "px" else 1) if m else None
+
+
+def is_bold(style: dict[str, str]) -> bool:
+    weight = style.get("font-weight", "")
+    return weight == "bold" or bool(re.fullmatch("[6-9]00", weight))
+
+
+def is_upper(style: dict[str, str]) -> bool:
+    return style.get("text-transform") == "uppercase" or "small-caps" in style.get("font-variant", "") or "small-caps" in style.get("font-variant-caps", "")
+
 
+def size_of(style: dict[str, str]) -> float | None:
+    size = points(style.get("font-size"))
+    return points(style.get("font")) if size is None else size
 
-def is_bold(value: str | None) -> bool:
-    return value in ("bold", "bolder") or bool(value and value.isdigit() and int(value) >= 600)
+
+def letters(text: str) -> int:
+    return sum(c.isalpha() for c in text)
 
 
 class Judgment:
@@ -94,7 +108,12 @@ class Judgment:
         builder.close()
         self.root = builder.root
         css = re.sub(r"(?s)/\*.*?\*/", "", "".join(builder.css))
-        self.classes = {m[1]: {k: v for k, v in style_of(m[2]).items() if k in PROPERTIES} for m in re.finditer(r"\.([\w-]+)\s*\{([^}]*)\}", css)}
+        self.classes: dict[str, dict[str, str]] = {}
+        for selectors, body in re.findall(r"([^{}]+)\{([^}]*)\}", css):
+            kept = {k: v for k, v in style_of(body).items() if k in PROPERTIES}
+            for name in re.findall(r"\.([A-Za-z_][\w-]*)", selectors):
+                self.classes.setdefault(name, {}).update(kept)
+        self._styles: dict[int, dict[str, str]] = {}
 
     def walk(self, node: Node | None = None) -> Iterator[Node]:
         stack = [node or self.root]
@@ -113,44 +132,49 @@ class Judgment:
             elif n.tag not in ("style", "script"):
                 stack.extend((c, n) for c in reversed(n.children))
 
-    def effective(self, node: Node, name: str) -> str | None:
-        """The property of the nearest element that sets it, up to the body."""
-        at: Node | None = node
-        while at and at.tag not in ("body", "html"):
-            own = style_of(at.attrs.get("style", ""))
-            if name in own:
-                return own[name]
-            for c in at.attrs.get("class", "").split():
-                if name in self.classes.get(c, {}):
-                    return self.classes[c][name]
-            if name == "font-weight" and at.tag in ("b", "strong"):
-                return "bold"
-            at = at.parent
-        return None
+    def style(self, node: Node) -> dict[str, str]:
+        """The properties in effect: those of the nearest element that sets them, up to and with the body."""
+        if (known := self._styles.get(id(node))) is not None:
+            return known
+        own = {"font-weight": "bold"} if node.tag in ("b", "strong") else {}
+        own = {**style_of(node.attrs.get("style", "")), **own}
+        for name in node.attrs.get("class", "").split():
+            own = {**self.classes.get(name, {}), **own}
+        if node.parent and node.tag not in ("body", "html"):
+            own = {**self.style(node.parent), **own}
+        self._styles[id(node)] = own
+        return own
 
     def heading(self, node: Node) -> bool:
-        return re.fullmatch(r"h[1-6]", node.tag) is not None or node.attrs.get("role") == "heading" or bool(HEADING_CLASS.search(node.attrs.get("class", ""))) and node.tag in ("p", "div", "span") or "heading" in style_of(node.attrs.get("style", "")).get("mso-style-name", "")
+        if re.fullmatch("h[1-6]", node.tag) or node.attrs.get("role", "").lower() == "heading":
+            return True
+        return bool(HEADING_CLASS.search(node.attrs.get("class", "")) or HEADING_STYLE.search(node.attrs.get("style", "")))
 
     def why(self, p: Node) -> str | None:
-        """Why a paragraph is a headline: `caps`, `bold` or `size`."""
-        runs = [(t, h) for t, h in self.runs(p) if any(c.isalpha() for c in t)]
-        letters = [c for t, _ in runs for c in t if c.isalpha()]
-        if len(letters) < LETTERS:
+        """Why a paragraph is a headline: `caps`, `bold` (both only in type that isn't small) or `size`."""
+        told = [(text, self.style(holder)) for text, holder in self.runs(p) if text.strip()]
+        if not told:
             return None
-        if all(t.upper() == t or self.effective(h, "text-transform") == "uppercase" for t, h in runs):
-            return "caps" if any(c.isupper() or c.islower() for c in letters) else None
-        if all(is_bold(self.effective(h, "font-weight")) for _, h in runs):
-            return "bold"
-        sizes = [points(self.effective(h, "font-size")) for _, h in runs]
-        return "size" if all(s is not None and s > NORMAL_PT for s in sizes) else None
+        sizes = [size_of(style) for _, style in told]
+        lettered = [(text, style, size) for (text, style), size in zip(told, sizes) if letters(text)]
+        if sum(letters(text) for text, _, _ in lettered) >= LETTERS and all(size is None or size >= NORMAL_PT for _, _, size in lettered):
+            if all(is_upper(style) or not any(c.isalpha() and c.islower() for c in text) for text, style, _ in lettered):
+                return "caps"
+            if is_bold(self.style(p)) or all(is_bold(style) for _, style, _ in lettered):
+                return "bold"
+        return "size" if all(size is not None and size > NORMAL_PT for size in sizes) else None
 
     def strip_headlines(self) -> dict[str, int]:
         """Removes headlines; the report counts them by kind."""
         report = {"headings": 0, "caps": 0, "bold": 0, "size": 0, "paragraphs": 0}
-        for node in [n for n in self.walk() if n.tag and self.heading(n)]:
-            if node.parent and node in node.parent.children:
-                node.parent.children.remove(node)
-                report["headings"] += 1
+        stack = [self.root]
+        while stack:  # what stands in a heading goes with it and isn't counted
+            node = stack.pop()
+            inner = [c for c in node.children if isinstance(c, Node)]
+            headings = [c for c in inner if self.heading(c)]
+            report["headings"] += len(headings)
+            node.children = [c for c in node.children if c not in headings] if headings else node.children
+            stack.extend(c for c in inner if c not in headings)
         for p in [n for n in self.walk() if n.tag == "p"]:
             report["paragraphs"] += 1
             if kind := self.why(p):
@@ -159,37 +183,59 @@ class Judgment:
         return report
 
     def text(self) -> str:
-        return "\n".join(t.strip() for t, _ in self.runs(self.root) if t.strip())
+        """All texts, each on lines of its own."""
+        return "\n".join(t for t, _ in self.runs(self.root))
 
 
-def paragraphs_of(html: str) -> tuple[list[tuple[int, str]], dict[str, int], bool]:
-    """Numbered paragraphs in order, the report on headlines, and whether they were left in because too many seemed to be.
+def how_many(text: str) -> int:
+    """The greatest n for which each number up to it begins a line, also as the beginning of a longer number."""
+    found = {run[:k] for run in re.findall(r"\n(\d+)", text) for k in range(1, min(len(run), 9) + 1)}
+    n = 0
+    while str(n + 1) in found:
+        n += 1
+    return n
+
 
-    Numbers run from 1 as far as each stands at the beginning of a line; each paragraph is searched after the one before.
+def _marked(text: str, number: int) -> re.Match | None:
+    for form in MARKS:
+        if found := re.compile(form.format(n=number, last=number % 10)).search(text):
+            return found
+    return None
+
+
+def numbered_paragraphs(text: str) -> dict[int, str]:
+    """Paragraphs by number, as `n. text`: from the mark of each number to that of the next; numbers without a mark or text are left out.
+
+    After a paragraph whose next number isn't marked behind it, the rest of the text is that paragraph's.
     """
+    n = how_many(text)
+    out: dict[int, str] = {}
+    for i in range(1, n + 1):
+        if not text or not (here := _marked(text, i)):
+            continue
+        after = _marked(text, i + 1) if i < n else None
+        end = after.start() if after and after.start() >= here.end() else len(text)
+        if body := " ".join(text[here.end() : end].split()):
+            out[i] = f"{i}. {body}"
+        text = text[end:]
+    return out
+
+
+def paragraphs_of(html: str) -> tuple[list[tuple[int, str]], dict[str, int], bool]:
+    """Numbered paragraphs in order, the report on headlines, and whether those were left in because larger type seemed to be normal."""
     doc = Judgment(html)
     whole = doc.text()
     report = doc.strip_headlines()
-    removed = report["caps"] + report["bold"] + report["size"]
-    doubtful = report["paragraphs"] > 0 and removed > MOST_SHARE * report["paragraphs"]
-    text = "\n" + (whole if doubtful else doc.text()).replace("\xa0", " ")
-    starts: list[int] = []
-    cursor, number = 0, 1
-    while True:
-        marks = (f"\n{number}. ", f"\n{number}.\n", f"\n{number}.", f"\n{number} ")
-        at = next((i for m in marks if (i := text.find(m, cursor)) >= 0), -1)
-        if at < 0:
-            break
-        starts.append(at)
-        cursor = at + 1
-        number += 1
-    out = []
-    for i, at in enumerate(starts):
-        body = text[at + 1 + len(str(i + 1)) : starts[i + 1] if i + 1 < len(starts) else len(text)]
-        body = " ".join(body.lstrip(".").split())
-        if body:
-            out.append((i + 1, f"{i + 1}. {body}"))
-    return out, report, doubtful
+    doubtful = report["size"] > MOST_SHARE * max(1, report["paragraphs"])
+    return sorted(numbered_paragraphs(whole if doubtful else doc.text()).items()), report, doubtful
+
+
+def docname_of(html: str | None) -> str | None:
+    """The text of a page's docname element; None if it has none."""
+    for node in Judgment(html or "").walk():
+        if node.tag == "docname":
+            return " ".join("".join(c for c in node.children if isinstance(c, str)).split()) or None
+    return None
 
 
 def html_paragraphs(pages: DataFrame, id_col: str = "_id", html_col: str = "html") -> DataFrame:
