@@ -231,10 +231,11 @@ def paragraphs_of(html: str) -> tuple[list[tuple[int, str]], dict[str, int], boo
 
 
 def docname_of(html: str | None) -> str | None:
-    """The text of a page's docname element; None if it has none."""
-    for node in Judgment(html or "").walk():
-        if node.tag == "docname":
-            return " ".join("".join(c for c in node.children if isinstance(c, str)).split()) or None
+    """The text of a page's first paragraph of class docname; None if it has none."""
+    doc = Judgment(html or "")
+    for node in doc.walk():
+        if node.tag == "p" and "docname" in node.attrs.get("class", "").split():
+            return " ".join(t.strip() for t, _ in doc.runs(node) if t.strip())
     return None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranking import average_rank, min_max
+from ..functions.ranking import with_average_rank, with_min_max
 from ..operators import evaluation as E
 from ..operators.citations import CITATION
 from ..operators.embedding import FakeEmbedder, embed_missing
@@ -70,8 +70,9 @@ WITH s AS (SELECT p_brand, p_partkey, p_size, CASE WHEN max(p_size) OVER w > min
 SELECT p_brand, p_partkey, round(v, 6) AS scaled, rank() OVER (PARTITION BY p_brand ORDER BY v DESC) + (count(*) OVER (PARTITION BY p_brand, v) - 1) / 2.0 AS position FROM s
 """)
 def tie_ranks(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("v")).withColumn("v", min_max("v", "p_brand"))
-    return p.select("p_brand", "p_partkey", F.round("v", 6).alias("scaled"), average_rank("v", "p_brand", descending=True).alias("position"))
+    p = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("v"))
+    ranked = with_average_rank(with_min_max(p, "v", "scaled", "p_brand"), "scaled", "position", "p_brand", descending=True)
+    return ranked.select("p_brand", "p_partkey", F.round("scaled", 6).alias("scaled"), "position")
 
 
 @query("""

@@ -51,16 +51,23 @@ def test_sqlite_source(spark, tmp_path):
 
 
 def test_guides(spark):
-    text = "Cover\nIntroduction\nshort\n1. First <sup>1</sup> one.\n## Head\n<sup>1</sup> The note.\n- 2. Second\xa0one.\n3. Third.\nList of cited cases\n4. no"
-    df = spark.createDataFrame([("g_eng", text), ("h_eng", "no numbers"), ("n_eng", None)], "guide_id string, text string")
-    rows = {r["paragraph_id"]: r["paragraph"] for r in guides.parse_guides(df).where("guide_id = 'g_eng'").collect()}
-    assert rows[1].startswith("1. First") and rows[1].endswith("The note.")
-    assert rows[3] == "3. Third." and len(rows) == 3
-    assert guides.residual_clutter(guides.parse_guides(df)).count() == 0
+    body = "".join(f"\n{'- ' if i == 5 else ''}{i}. Text {i}" for i in range(2, 12))
+    text = "Cover\nHUDOC keywords\nshort\n1. First <sup>1</sup> one <sup>7</sup>.\n  ## Head\n <sup>1.</sup> The note.\n<span id=\"page-3\"></span>" + body + "\nList of cited cases\n12. no"
+    french = "Avant\n1. Le début est ici 2?Deux\nGuide sur x\n3. Trois" + "".join(f"\n{i}. T{i}" for i in range(4, 12)) + "\nListe des affaires citées"
+    df = spark.createDataFrame([("g_eng", text), ("h_eng", "no keyword\n1. x"), ("n_eng", None), ("m_eng", text.replace("\n7. ", "\n7.")), ("g_fre", french)], "guide_id string, text string")
+    rules = spark.createDataFrame([("g_fre", "start", 0, "1. Le début", None), ("g_fre", "remove", 1, "^Guide sur.*$", None), ("g_fre", "replace", 1, r" 2\?D", "\n2. D"), ("x_eng", "remove", 1, ".", None)], guides.RULES)
+    every = {(r["guide_id"], r["paragraph_id"]): r["paragraph"] for r in guides.parse_guides(df, rules).collect()}
+    rows = {i: p for (g, i), p in every.items() if g == "g_eng"}
+    assert rows[1] == "First <sup>1</sup> one <sup>7</sup>.\n<sup>1</sup> The note." and rows == {1: rows[1], **{i: f"Text {i}" for i in range(2, 12)}}
+    assert {g for g, _ in every} == {"g_eng", "g_fre"}
+    assert [every["g_fre", i] for i in (1, 2, 3)] == ["Le début est ici", "Deux", "Trois"]
+    assert guides.residual_clutter(guides.parse_guides(df.where("guide_id = 'g_eng'"))).count() == 0
+    left = spark.createDataFrame([("a_fre", "x Cour européenne des droits de l’homme 3/4"), ("a_eng", "[Guide on x](y)"), ("b_eng", "Guide on x"), ("c_ron", "x ## y")], "guide_id string, paragraph string")
+    assert sorted((r["guide_id"], r["problem"]) for r in guides.residual_clutter(left).collect()) == [("a_fre", "footer"), ("b_eng", "header"), ("c_ron", "heading")]
 
 
 def test_html(spark):
-    html = '<style>.h{font-size:16pt}</style><h2>TITLE</h2><p class="h">Bigger heading here</p><p>THE LAW OF IT</p><p><b>Bold heading line</b></p>' + "".join(f"<p>{i}. Paragraph <b>bold</b> {i}.</p>" for i in range(1, 12))
+    html = '<style>.h{font-size:16pt}</style>Court\n<h2>TITLE</h2><p class="h">Bigger heading here</p><p>THE LAW OF IT</p><p><b>Bold heading line</b></p>' + "".join(f"<p>\n{i}. Paragraph <b>bold</b> {i}.</p>" for i in range(1, 12))
     rows, report, doubtful = judgments.paragraphs_of(html)
     assert [n for n, _ in rows] == list(range(1, 12)) and rows[1][1] == "2. Paragraph bold 2."
     assert report == {"headings": 1, "caps": 1, "bold": 1, "size": 1, "paragraphs": 14} and not doubtful
@@ -71,6 +78,34 @@ def test_html(spark):
     assert judgments.headline_report(df).count() == 1
 
 
+def test_headlines_by_their_style():
+    def kinds(*paragraphs, css=""):
+        doc = judgments.Judgment(f"<style>{css}</style><body style='font-size:12pt'>" + "".join(paragraphs))
+        return [doc.why(n) for n in doc.walk() if n.tag == "p"]
+
+    small = 'style="font-size:9pt"'
+    assert kinds("<p>ALL IN CAPITALS</p>", f"<p {small}>ALL IN CAPITALS</p>", "<p>ABCD</p>", "<p>CAPS and small</p>") == ["caps", None, None, None]
+    assert kinds("<p><b>Bold line</b></p>", f"<p {small}><b>Bold line</b></p>", '<p style="font-weight:700">x <i>line here</i></p>', "<p><b>Bold</b> and not</p>") == ["bold", None, "bold", None]
+    assert kinds('<p style="font:bold 16px/1.2 serif">Twelve points</p>', '<p style="font-size:16pt;font:9pt x">Wide</p>', '<p style="font-size:16pt">12</p>') == ["bold", "size", "size"]
+    assert kinds('<p class="u">small capitals</p>', '<p class="a">nothing</p>', css=".u, p.v {font-variant: small-caps} /* .a{font-weight:bold} */") == ["caps", None]
+    nested = judgments.Judgment('<div class="MsoHeading2"><h3>In it</h3></div><p role="heading">x</p><p style="mso-style-name:\'Heading 1\'">y</p><p class="titled">z</p>')
+    assert nested.strip_headlines()["headings"] == 3
+    # larger type is normal type, where more than 0.3 of the paragraphs have it; bold headings don't matter for that
+    big = "x\n" + "".join(f'<p style="font-size:14pt">\n{i}. Text {i}</p>' for i in (1, 2, 3))
+    assert judgments.paragraphs_of(big)[2] and len(judgments.paragraphs_of(big)[0]) == 3
+    mixed = "x\n" + "".join(f"<p><b>Head line</b></p><p>\n{i}. Text {i}</p>" for i in (1, 2, 3))
+    assert judgments.paragraphs_of(mixed)[0] == [(i, f"{i}. Text {i}") for i in (1, 2, 3)]
+
+
+def test_marks_of_paragraphs():
+    text = "Head\n1. One\n2 . Two it is 3. Three"
+    assert judgments.numbered_paragraphs(text) == {1: "1. One", 2: "2. Two it is 3. Three"}  # no line begins with 3
+    text = "Head\n1. One see 4/2. x\n2 . Two\n3 Three (see 4.1)\n4\n. Four\n5"
+    assert judgments.numbered_paragraphs(text) == {1: "1. One see 4/2. x", 2: "2. Two", 3: "3. Three (see 4.1)", 4: "4. Four"}
+    assert judgments.numbered_paragraphs("x\n11. y\n22. z") == {1: "1. 1. y", 2: "2. 2. z"}
+    assert judgments.docname_of('<p class="docname"> A v. <b>B</b> </p><p>x</p>') == "A v. B" and judgments.docname_of("<p>x") is None
+
+
 def test_retrieval_metrics(spark):
     df = spark.createDataFrame([(["a", "a", "b"], ["a", "c"]), ([], []), (["x"], [])], "f array<string>, g array<string>")
     f, g = F.col("f"), F.col("g")
@@ -187,12 +222,12 @@ def test_qa_groups_carry_the_extracted_citations(spark):
 
 
 def test_guides_of_any_number_of_paragraphs(spark):
-    text = "Introduction" + "".join(f"\n{i}. Text {i}" for i in range(1, 2304)) + "\nList of cited cases"
+    text = "HUDOC keywords" + "".join(f"\n{i}. Text {i}" for i in range(1, 2304)) + "\nList of cited cases"
     rnd = random.Random(5)
     texts = ["", "2.", "1. 12. x", "1.2.3.05.", "11. 2. 3", "1234567890123. 4.", *("".join(rnd.choice("123450. ") for _ in range(60)) for _ in range(200))]
     df = spark.createDataFrame([("g_eng", text)], "guide_id string, text string")
     rows = {r["paragraph_id"]: r["paragraph"] for r in guides.parse_guides(df).collect()}
-    assert len(rows) == 2303 and all(rows[i] == f"{i}. Text {i}" for i in rows)
+    assert len(rows) == 2303 and all(rows[i] == f"Text {i}" for i in rows)
 
     def plain(t):
         return next(i for i in range(1, 99) if f"{i}." not in t) - 1
