@@ -53,13 +53,15 @@ def with_min_max(rows: DataFrame, value: str, out: str, *group: str) -> DataFram
     return joined(rows, ends, list(group)).withColumn(out, scaled).drop("_low", "_high")
 
 
-def adjusted_p(tests: DataFrame, p: str, *order: str, out: str = "p_adjusted") -> DataFrame:
+def adjusted_p(tests: DataFrame, p: str, *order: str, out: str = "p_adjusted", tests_in_all: int | None = None) -> DataFrame:
     """tests with p adjusted by Benjamini and Hochberg, over all rows; order makes the ranks of equal p definite. Null p has none and doesn't count.
 
+    tests_in_all: how many tests were made, if tests holds only the smaller p of them.
+
     The least of the later partitions, one number for each, is all that passes between them.
     """
     known = counted_before(tests.where(F.col(p).isNotNull()).withColumn("_one", F.lit(1)), "_one", [], [p, *order], "_before").drop("_one")
-    m = tests.where(F.col(p).isNotNull()).count()
+    m = tests.where(F.col(p).isNotNull()).count() if tests_in_all is None else tests_in_all
     parts = int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     raw = stored(known.withColumn("_raw", F.col(p) * m / (F.col("_before") + 1)).repartitionByRange(parts, "_before").withColumn("_part", F.spark_partition_id()))
     least = raw.groupBy("_part").agg(F.min("_raw").alias("_least"))
