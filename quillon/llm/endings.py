@@ -14,6 +14,7 @@ from collections.abc import Iterable
 import regex
 
 TOKEN = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*['’]?|\d+|\n\s*|[^\s\p{L}\p{M}\d]")
+WORD = regex.compile(r"(?<![\p{L}\p{M}\x27’\-])\p{Ll}[\p{L}\p{M}]*(?:[\x27’\-][\p{L}\p{M}]+)*[\x27’]?")
 SINGLE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 # Marks that end a sentence.
 FINAL = set(".!?…。！？｡।॥؟۔")
@@ -112,15 +113,23 @@ class Endings:
         self.pause = Counter({c: n for c, n in self.pause.items() if c in self.all})
         return self
 
-    def chance(self, text: str, least: int = SEEN) -> float:
+    def doubted(self, text: str) -> str | None:
+        """The last word of a text that counts as broken off only because that word, in small letters, is rare in the sample."""
+        text = core(text)
+        if self.unclosed(text) or self.complete(text) > 0 or self.complete(text, trusting=True) == 0:
+            return None
+        return last_tokens(text.rstrip("".join(CLOSING)))[-1]
+
+    def chance(self, text: str, least: int = SEEN, trusting: bool = False) -> float:
         """The share of such endings that are ends, by the longest context that was seen often enough.
 
-        Where a sentence may end but a clause follows as often, pauses count too.
+        Where a sentence may end but a clause follows as often, pauses count too. A last word that is rare ends nothing,
+        unless it is trusted to be a word.
         """
         ts = last_tokens(text)
         if not ts:
             return 1.0
-        if self.rare(ts[-1]):
+        if self.rare(ts[-1]) and not (trusting and ts[-1][0].islower() and self.words.get(ts[-1], 0) < 3):
             return 0.0
         shapes = [self.shape(t) for t in ts]
         context, found = "", 0.5
@@ -174,7 +183,7 @@ class Endings:
                 stack.append(c)
         return bool(stack)
 
-    def complete(self, text: str) -> float:
+    def complete(self, text: str, trusting: bool = False) -> float:
         """How surely the text, what was put after it left away, ends with a sentence, a list or the like: 0 to 1."""
         text = core(text)
         if footer := FOOTER.search(text, max(0, len(text) - WINDOW)):
@@ -191,7 +200,7 @@ class Endings:
                 return 1.0
             stem = bare[:-1]
             if stem[-1:].isdigit():
-                return min(1.0, 4 * self.chance(stem))
+                return min(1.0, 4 * self.chance(stem, trusting=trusting))
             end = stem[-WINDOW:]
             word = LAST_WORD.search(end)[0].lower()
             if not stem[: len(stem) - len(word)].strip() and word.isalpha():
@@ -209,7 +218,7 @@ class Endings:
             return 0.9
         if "\n\n" in bare and DATED.fullmatch(line):
             return 0.9
-        return self.chance(text)
+        return self.chance(text, trusting=trusting)
 
 
 # A line of keywords or references; a signature; a closing line of place and date.
