@@ -24,7 +24,7 @@ DIM = 96
 #: Vectors the index is fitted on at most (those of least hash of their id): this many, or so many for each cell; every vector is indexed.
 SAMPLE, SAMPLED_PER_CELL = 30_000, 8
 #: Cells searched for each vector at least, candidates that must lie in them at least, candidates ranked exactly.
-PROBES, REACH, RERANKED = 10, 512, 32
+PROBES, REACH, RERANKED = 10, 512, 48
 #: Bytes of a code.
 CODE = 48
 #: Vectors of a cell and coded candidates in one group at most, about.
@@ -100,10 +100,15 @@ class Index(NamedTuple):
         part = q.shape[1] // CODE
         return np.stack([self.books[i] @ q[:, i * part : (i + 1) * part].T for i in range(CODE)])
 
-    def scores(self, q: np.ndarray, tables: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Similarity (candidates x queries) of coded candidates, summed over the tables."""
+    def rounded(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tables in 16 bits, and the scale of each query by which no sum over them can overflow."""
+        scale = 32_000 / (1.01 + np.abs(tables).max(axis=1).sum(axis=0))
+        return np.rint(tables * scale).astype(np.int16), scale
+
+    def scores(self, q: np.ndarray, tables: np.ndarray, scale: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Similarity, to scale, (candidates x queries) of coded candidates, summed over the tables."""
         near, which = np.unique(cell, return_inverse=True)
-        out = (self.coarse[near] @ q.T)[which]
+        out = np.rint((self.coarse[near] @ q.T) * scale).astype(np.int16)[which]
         step = np.empty_like(out)
         for table, entry in zip(tables, codes.T.astype(np.intp)):
             np.take(table, entry, axis=0, out=step, mode="clip")
@@ -244,16 +249,16 @@ def neighbours(vectors: DataFrame, k: int = 5, id_col: str = "query", vector_col
         place = np.stack([cell, p.block(vid, cell)], axis=1)
         out: list[tuple] = []
         own_place = (int(queries["home"].iloc[0]), int(queries["block"].iloc[0]))
-        for first in range(0, len(whole), 64):  # with 1,024 candidates at once, what the sums touch stays in the cache
-            q, own = whole[first : first + 64], asked[first : first + 64]
-            tables = ix.tables(q)
-            best_s, best_i = np.zeros((len(q), 0), dtype=np.float32), np.zeros((len(q), 0), dtype=np.int64)
+        for first in range(0, len(whole), 256):  # with 512 candidates at once, what the sums touch stays in the cache
+            q, own = whole[first : first + 256], asked[first : first + 256]
+            tables, scale = ix.rounded(ix.tables(q))
+            best_s, best_i = np.zeros((len(q), 0), dtype=np.int16), np.zeros((len(q), 0), dtype=np.int64)
             for at in range(0, len(vid), 4096):
                 end = min(at + 4096, len(vid))
-                scores = np.concatenate([ix.scores(q, tables, cell[i : min(i + 1024, end)], code[i : min(i + 1024, end)]) for i in range(at, end, 1024)]).T
+                scores = np.concatenate([ix.scores(q, tables, scale, cell[i : min(i + 512, end)], code[i : min(i + 512, end)]) for i in range(at, end, 512)]).T
                 self_ = np.searchsorted(vid[at:end], own)
                 hit = np.flatnonzero((self_ < end - at) & (vid[at:end][np.minimum(self_, end - at - 1)] == own))
-                scores[hit, self_[hit]] = -9
+                scores[hit, self_[hit]] = -32_767
                 top = _top(scores, reranked)
                 best_s = np.concatenate([best_s, np.take_along_axis(scores, top, 1)], axis=1)
                 best_i = np.concatenate([best_i, at + top], axis=1)
