@@ -8,7 +8,7 @@ import pytest
 from quillon.llm import cuts
 from quillon.llm.endings import Endings, core
 from quillon.llm.pairs import SuffixAutomaton, broken_pairs, copies, defect_of, refuses, texts_of, voted
-from quillon.llm.sentences import sentences, split_sentences, task_sentences
+from quillon.llm.sentences import Learnt, _item, _Levels, learn, sentences, split_sentences, task_sentences
 
 SPLIT = [
     "He was held from 6.30 a.m. to 9.15 p.m. without food.| Mr. Ash and Dr. B. Oak (see p. 3. of it) relied on no. 12/05, vol. II, pp. 3-4.| 94 witnesses were heard.",
@@ -28,12 +28,48 @@ SPLIT = [
 ]
 
 
+LINES = Learnt(lines=frozenset({"general principles", "application to the present case", "一般原則"}))
+
+
 @pytest.mark.parametrize("case", SPLIT)
 def test_sentences(case):
+    text = case.replace("|", "")
+    assert [text[s:e] for s, e in sentences(text, LINES)] == [x.strip() for x in case.split("|")]
+
+
+# texts that have nothing to do with the tables
+UNSEEN = [
+    "Gen. Smith served at Ft. Knox.| He retired in May.", "Acme Bros. Ltd. in Paris was sold.| Nobody minded.", "See Eq. 4 and Thm. 5.| They follow at once.", "Vid. pág. 5 del Sr. López.| No hay más.",
+    "Das gilt usw. und ggf. Herr Müller.| Er kam bzw. Frau Ode ging.", "Prof. Lee weighed 12 kg.| She ran 5 km. Then she slept.".replace("km. Then", "km.| Then"), "Dr. Hrsg. Bd. 2 ist da.| Es regnet.", "Gov. Hale met Sen. Pike vs. Rep. Dunn.| All agreed.",
+    "See No. 4, Vol. 2, Fig. 3.| The end.", "Mme. Roux et Mlle. Petit sont là.| Elles rient.", "El Dr. Gil y la Dra. Paz, cf. pág. 9, vinieron.| Se fueron.", "Il sig. e la prof. Neri, cfr. p. 4.| Finito.", "Она живёт на ул. Мира.| Он ушёл.",
+]
+
+
+@pytest.mark.parametrize("case", UNSEEN)
+def test_sentences_of_other_texts(case):
     text = case.replace("|", "")
     assert [text[s:e] for s, e in sentences(text)] == [x.strip() for x in case.split("|")]
 
 
+def test_list_levels():
+    assert [_item(x) for x in ("II. The law", "b) it", "(iv) x", "3.2. On", "12. x", "二十、x", "Word x")] == [("I.", 2), ("a)", 98), ("i)", 4), ("1.1", 2), ("1.0", 12), ("一", 12), None]
+    levels = _Levels()
+    assert not levels.enter("A.", 65)
+    levels.stack[-1][2] = True  # it was a heading
+    assert not levels.enter("1.0", 1) and not levels.enter("1.0", 2)
+    assert levels.enter("A.", 66) and levels.stack == [["A.", 66, False]]  # the level within is closed
+    text = "A. Alleged violation\nThe Court agreed.\n\n1. It was so.\n\nB. Costs, expenses\nThey were paid."
+    assert [text[s:e] for s, e in sentences(text)] == ["A. Alleged violation", "The Court agreed.", "1. It was so.", "B. Costs, expenses", "They were paid."]
+
+
+def test_words_and_lines_are_learnt(spark):
+    texts = [f"{'Zwfl' if i % 2 else 'Heading word'}\nIt was xyzo. {i} and abco. so in the end.\n\nThe end {i}\nis near. Xyzo. 5 it was." for i in range(30)]
+    got = learn(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "t string"), "t")
+    assert {"xyzo", "abco"} <= got.words and "near" not in got.words and "end" not in got.words
+    assert {"zwfl", "heading word"} <= got.lines and not any(x.startswith("the end") for x in got.lines)
+    assert learn(spark.createDataFrame([], "t string"), "t") == Learnt()
+
+
 def test_units_and_space_are_the_whole_text():
     rnd = random.Random(2)
     for _ in range(1500):
@@ -49,9 +85,9 @@ def test_units_and_space_are_the_whole_text():
 
 
 def test_split_tables(spark):
-    df = spark.createDataFrame([("g", 1, None, 0), ("g", 1, "Ab cd. Ef gh.", 1), ("g", 1, " ", 2), ("g", 2, "", 0), (None, 3, "x", 0), ("g", 4, "x. Y." * 20_000, None)], "guide_id string, paragraph_id int, paragraph_text string, attempt int").selectExpr("*", "1 AS k0", "2 AS text")
+    df = spark.createDataFrame([("g", 1, None, 0), ("g", 1, "Ab ced. Ef gh.", 1), ("g", 1, " ", 2), ("g", 2, "", 0), (None, 3, "x", 0), ("g", 4, "x. Y." * 20_000, None)], "guide_id string, paragraph_id int, paragraph_text string, attempt int").selectExpr("*", "1 AS k0", "2 AS text")
     rows = task_sentences(df.drop("text")).collect()
-    assert sorted(tuple(r) for r in rows if r["paragraph_id"] == 1) == [("g", 1, 0, 6), ("g", 1, 7, 13)]
+    assert sorted(tuple(r) for r in rows if r["paragraph_id"] == 1) == [("g", 1, 0, 7), ("g", 1, 8, 14)]
     assert {r["paragraph_id"] for r in rows} == {1, 4}
     assert split_sentences(df.limit(0), ["guide_id"], "paragraph_text").count() == 0
 
