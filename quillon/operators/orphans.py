@@ -1,8 +1,9 @@
 """Problem 3: references to records that do not exist.
 
 Parents' keys are range-partitioned and lie in each range as one sorted array; references come to their range in
-batches and are found by binary search. A range with very many references (a case cited by a third of all records) is
-split by salt, its parents repeated for each part; parents are one row a key, so that stays small.
+batches and are found by binary search. Ranges are cut by the keys of references and parents alike, so that each holds
+about as many rows; a key with very many references (a case cited by a third of all records) is a range of its own,
+whose references are split by salt and whose one parent is repeated for each part.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from ..functions.urls import normalise_url
 from ..session import spread, stored
 from .nested import Citations, _lookup, answer_citations, blocks, languages, list_citations
 
-#: Keys sampled for the bounds of ranges, ranges at most, references in a part of a range, about.
-SAMPLED, RANGES, PART = 8192, 1024, 150_000
+#: References and parents in a range or part of one, about; ranges at most; keys sampled for the bounds of each range.
+PART, RANGES, SAMPLED = 150_000, 65_536, 16
 REFERENCE = "src_table string, guide_id string, unit_id string, grouping_method string, model_name string, ref_field string, ref_key string, cited_at timestamp_ntz, period string"
 
 
@@ -39,13 +40,35 @@ def _urls(c: Citations) -> tuple[list[tuple[int, str]], dict[int, str]]:
     return [(i, normalise_url(u)) for i, u in url.items()], years
 
 
-def _references(rows: DataFrame, kind: str, bounds: list[str]) -> DataFrame:
+def _bounds(keys: DataFrame, rows: int) -> list[str]:
+    """Least keys of the ranges but the first, from a sample of ref_key by hash of the row; a key that is several bounds gets a range of its own."""
+    ranges = max(1, min(RANGES, -(-rows // PART)))
+    if ranges == 1:
+        return []
+    sample = sorted(r["ref_key"] for r in keys.select("ref_key", "h").orderBy("h", "ref_key").limit(SAMPLED * ranges).collect())
+    cut = [sample[len(sample) * i // ranges] for i in range(1, ranges)]
+    often = {a for a, b in zip(cut, cut[1:]) if a == b}
+    return sorted({*cut, *(k + "\0" for k in often)})
+
+
+def _placed(rows: DataFrame, bounds: list[str]) -> DataFrame:
+    """rows with the number of the range of their ref_key."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(bounds, dtype=object))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.searchsorted(shared.value, batch.column("ref_key").to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "range"])
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", range int")
+
+
+def _references(rows: DataFrame, kind: str) -> DataFrame:
     """References in rows (k0..k3, cited_at, text) of kind `answers` or `lists`, distinct within batches."""
     cited = answer_citations if kind == "answers" else list_citations
     table = "question_generations" if kind == "answers" else "citation_extractions"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(bounds, dtype=object)
         for batch in batches:
             keys = [batch.column(f"k{i}").to_pylist() for i in range(4)]
             when = batch.column("cited_at").to_pylist()
@@ -61,12 +84,12 @@ def _references(rows: DataFrame, kind: str, bounds: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([table] * len(at), pa.string()), *(pa.array([keys[k][i] for i in at], pa.string()) for k in range(4)), pa.array([f[1] for f in ordered], pa.string()), pa.array(ref, pa.string()),
-                        pa.array([when[i] for i in at], pa.timestamp("us")), pa.array(["" if p in ("null", "true", "false") else p for p in periods], pa.string()), pa.array(np.searchsorted(edges, np.array(ref, dtype=object), side="right").astype(np.int32)),
+                        pa.array([when[i] for i in at], pa.timestamp("us")), pa.array(["" if p in ("null", "true", "false") else p for p in periods], pa.string()),
                     ],
-                    names=[*(f.split()[0] for f in REFERENCE.split(", ")), "range"],
+                    names=[f.split()[0] for f in REFERENCE.split(", ")],
                 )
 
-    return rows.mapInArrow(run, REFERENCE + ", range int")
+    return rows.mapInArrow(run, REFERENCE)
 
 
 def _parents(meta_cache: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -86,7 +109,8 @@ def orphan_references(answers: DataFrame, extractions: DataFrame, meta_cache: Da
     `late`), period (citation_year for answers, year and month of updated_at for extractions, '' if there is none).
     Null and empty references, unreadable JSON and records with a null in their key don't count; of several versions of
     an extraction the one of greatest updated_at counts (ties: the greatest citations). Empty parents make every
-    reference missing. Other columns don't take part. The driver gets SAMPLED keys and a number for each range.
+    reference missing. Other columns don't take part. The driver gets SAMPLED keys
+    and a number for each range; a range has about PART rows.
     """
     spark = answers.sparkSession
     key = ["guide_id", "group_id", "grouping_method", "model_name"]
@@ -96,26 +120,25 @@ def orphan_references(answers: DataFrame, extractions: DataFrame, meta_cache: Da
     e = extractions.where("guide_id IS NOT NULL AND paragraph_id IS NOT NULL").groupBy("guide_id", "paragraph_id").agg(F.max(F.struct(F.col("updated_at").cast("timestamp_ntz").alias("cited_at"), F.col("citations").alias("text"))).alias("m"))
     e = e.select(F.col("guide_id").alias("k0"), F.col("paragraph_id").alias("k1"), F.lit("").alias("k2"), F.lit("").alias("k3"), "m.cited_at", "m.text").where("text IS NOT NULL")
     parents = stored(_parents(meta_cache, catalogue))
-    sample = sorted(r["ref_key"] for r in parents.select("ref_key", F.xxhash64("ref_key").alias("h")).orderBy("h").limit(SAMPLED).collect())
-    ranges = max(1, min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), len(sample)))
-    bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)]
-    refs = stored(_references(a, "answers", bounds).unionByName(_references(e, "lists", bounds)))
+    refs = stored(_references(a, "answers").unionByName(_references(e, "lists")))
+    keys = refs.select("ref_key", F.xxhash64(*refs.columns).alias("h")).unionByName(parents.select("ref_key", F.xxhash64("ref_field", "ref_key").alias("h")))
+    bounds = _bounds(keys, refs.count() + parents.count())
+    refs = _placed(refs, bounds) if bounds else refs.withColumn("range", F.lit(0))
     load = {r["range"]: r["count"] for r in refs.groupBy("range").count().collect()}
-    parts = {r: -(-n // PART) for r, n in load.items()}
+    parts = {r: -(-n // (2 * PART)) for r, n in load.items()}
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Parents to every part of their range."""
-        edges = np.array(bounds, dtype=object)
+        """Parents to every part of their range that has references."""
         for pdf in batches:
-            pdf["range"] = np.searchsorted(edges, pdf["ref_key"].to_numpy(dtype=object), side="right").astype(np.int32)
             times = pdf["range"].map(lambda r: parts.get(r, 0)).to_numpy(dtype=np.int64)
             out = pdf.loc[pdf.index.repeat(times)]
             yield out.assign(part=(np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32))
 
-    placed = parents.mapInPandas(place, "ref_field string, ref_key string, first_at timestamp_ntz, gone boolean, range int, part int")
+    ranged = _placed(parents, bounds) if bounds else parents.withColumn("range", F.lit(0))
+    placed = ranged.mapInPandas(place, "ref_field string, ref_key string, first_at timestamp_ntz, gone boolean, range int, part int")
     salts = F.create_map(*[F.lit(x) for r, n in sorted(parts.items()) if n > 1 for x in (r, n)]) if any(n > 1 for n in parts.values()) else None
     many = F.coalesce(F.try_element_at(salts, F.col("range")), F.lit(1)) if salts is not None else F.lit(1)
-    probes = refs.withColumn("part", F.pmod(F.xxhash64("guide_id", "unit_id", "ref_key"), many).cast("int"))
+    probes = refs.withColumn("part", F.pmod(F.xxhash64("guide_id", "unit_id", "grouping_method", "model_name", "ref_key"), many).cast("int"))
 
     def probe(batch: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         status = np.full(len(batch), "missing", dtype=object)

@@ -39,6 +39,20 @@ def test_salted_ranges_give_the_same(spark, monkeypatch):
     assert {tuple(r) for r in orphans.orphan_references(*tables(spark)).collect()} == WANT
 
 
+def test_a_key_cited_by_most_has_a_range_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "PART", 40)
+    ids = ["001-5"] * 300 + [f"001-{i}" for i in range(100, 400)]
+    ans = [("g", i, "m", "x", json.dumps([{"citations": [{"multilingual": {"eng": {"id": x}}}]}])) for i, x in enumerate(ids)]
+    there = [(x, None) for x in sorted(set(ids)) if not x.endswith("7")]
+    answers = spark.createDataFrame(ans, "guide_id string, group_id int, grouping_method string, model_name string, answer string")
+    empty = tables(spark)
+    found = orphans.orphan_references(answers, empty[1].limit(0), empty[2], spark.createDataFrame(there, "_id string, isplaceholder string")).collect()
+    assert sorted(r["ref_key"] for r in found) == sorted(x for x in ids if x.endswith("7"))
+    keys = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "ref_key string, h int")
+    bounds = orphans._bounds(keys, len(ids))
+    assert "001-5" in bounds and "001-5\0" in bounds and bounds == sorted(set(bounds))
+
+
 def test_empty_tables(spark):
     t = tables(spark)
     assert orphans.orphan_references(*(x.limit(0) for x in t)).count() == 0

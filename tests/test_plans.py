@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillon.operators import citations as C
-from quillon.operators import guides, judgments, models
+from quillon.operators import guides, judgments, models, retrieval
 from quillon.operators.retrieval import f1, ndcg, precision, recall, reciprocal_rank, top_k
 from quillon.plans.report_queries import qa_groups
 from quillon.sources import readers, sinks
@@ -122,6 +122,27 @@ def test_top_k_ties_zero_and_null(spark):
     assert top_k(v.limit(0), v, 3).count() == 0
 
 
+def test_top_k_in_blocks_gives_the_same(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)]) for i in range(300)]  # many ties
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    for metric in ("cosine", "l2"):
+        want = {tuple(r) for r in top_k(v.where("id < 40"), v, 4, metric).collect()}
+        for name, size in (("QUERY_BLOCK", 10), ("QUERIES", 16), ("VECTORS", 70), ("TILE", 7)):
+            monkeypatch.setattr(retrieval, name, size)
+        assert {tuple(r) for r in top_k(v.where("id < 40"), v, 4, metric).collect()} == want and len(want) == 160
+        monkeypatch.undo()
+    with pytest.raises(ValueError, match="dimensions"):
+        top_k(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<double>"), v, 3)
+
+
+def test_evaluate(spark):
+    df = spark.createDataFrame([("a", ["x", "y"], ["y"]), ("a", ["x"], []), ("a", None, ["z"]), ("b", ["x", "y"], ["x", "q"])], "c string, found array<string>, gold array<string>")
+    got = {r["c"]: r for r in retrieval.evaluate(df, ["c"], (1, 2)).collect()}
+    assert (got["a"]["n_questions"], got["a"]["n_recall"], got["b"]["recall@1"], got["b"]["precision@2"]) == (3, 2, 0.5, 0.5)
+    assert got["a"]["recall@2"] == pytest.approx(1 / 3) and got["a"]["mrr@1"] == 0 and got["a"]["mrr@2"] == pytest.approx(1 / 6)
+
+
 def test_completion_cache(spark):
     prompts = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, "s", "a"), (4, None, None)], "prompt_id int, system string, prompt string")
     rows, fresh = models.complete(prompts, None, models.FakeProvider())
