@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import citations as C
 from ..operators import stats
+from ..operators.guides import parse_guides
 from ..operators.judgments import headline_report, html_paragraphs
 from ..operators.models import FakeProvider, qa_pairs, rag_answers, scored
-from ..operators.retrieval import f1, top_k
+from ..operators.retrieval import evaluate, f1, top_k
 from ..session import stored, table
 from ..sources import sinks
 
@@ -388,17 +389,122 @@ def spearman_rank(spark: SparkSession, d: str) -> DataFrame:
     return stats.spearman(p, "g").select("g", "n", F.round("rho", 6).alias("rho"))
 
 
+# scores that runs gave to questions: a line's quantity and price, by mode of a run
+_RUNS = "q AS (SELECT l_suppkey AS id, CAST(l_linenumber AS VARCHAR) AS doc, l_returnflag AS query, round(avg(l_quantity), 6) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2, 3)"
+_SIGNED = """,
+d AS (SELECT *, b - a AS d FROM p), e AS (SELECT {g}, count(*) AS n_pairs, count(*) FILTER (d <> 0) AS n, avg(d) AS mean_diff FROM d GROUP BY {g} HAVING count(*) >= 5),
+x AS (SELECT {g}, d, round(abs(d), 9) AS z FROM d WHERE d <> 0), r AS (SELECT *, rank() OVER (PARTITION BY {g} ORDER BY z) + (count(*) OVER (PARTITION BY {g}, z) - 1) / 2.0 AS r FROM x),
+w AS (SELECT {g}, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS statistic FROM r GROUP BY {g})
+SELECT {g}, n_pairs, n_pairs - n AS n_ties, round((n_pairs - n) / n_pairs, 6) AS ties_pct, CAST(coalesce(statistic, 0) AS DOUBLE) AS statistic, round(mean_diff, 6) AS mean_diff FROM e LEFT JOIN w USING ({g})
+"""
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    return lines.groupBy(F.col("l_suppkey").alias("id"), F.col("l_linenumber").cast("string").alias("doc"), F.col("l_returnflag").alias("query")).agg(F.round(F.avg("l_quantity"), 6).alias("v"))
+
+
+def _tested(out: DataFrame, *names: str) -> DataFrame:
+    return out.select(*names, "n_pairs", "n_ties", F.round("ties_pct", 6).alias("ties_pct"), F.col("statistic").cast("double").alias("statistic"), F.round("mean_diff", 6).alias("mean_diff"))
+
+
+@query("WITH " + _RUNS + ", p AS (SELECT a.doc AS a_doc, a.query AS a_query, b.doc AS b_doc, b.query AS b_query, a.v AS a, b.v AS b FROM q a JOIN q b ON a.id = b.id AND (a.doc, a.query) < (b.doc, b.query))" + _SIGNED.format(g="a_doc, a_query, b_doc, b_query"))
+def wilcoxon_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every two configurations over common keys, at least five."""
+    out = stats.wilcoxon_of_configurations(_runs(spark, d), ["doc", "query"], "id", "v")
+    return _tested(out, "a_doc", "a_query", "b_doc", "b_query")
+
+
+@query("WITH " + _RUNS + ", p AS (SELECT b.doc AS b_doc, b.query AS b_query, a.v AS a, b.v AS b FROM q a JOIN q b ON a.id = b.id AND a.doc = '1' AND a.query = 'A' AND NOT (b.doc = '1' AND b.query = 'A'))" + _SIGNED.format(g="b_doc, b_query"))
+def wilcoxon_baseline(spark: SparkSession, d: str) -> DataFrame:
+    out = stats.wilcoxon_of_configurations(_runs(spark, d), ["doc", "query"], "id", "v", {"doc": "1", "query": "A"})
+    return _tested(out, "b_doc", "b_query")
+
+
+@query("""
+WITH g AS (SELECT l_orderkey AS g, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS DOUBLE) AS position, floor(l_quantity / 10) AS score FROM lineitem),
+a AS (SELECT position, rank() OVER (PARTITION BY g ORDER BY score DESC) + (count(*) OVER (PARTITION BY g, score) - 1) / 2.0 AS auto FROM g),
+r AS (SELECT rank() OVER (ORDER BY auto) + (count(*) OVER (PARTITION BY auto) - 1) / 2.0 AS ra, rank() OVER (ORDER BY position) + (count(*) OVER (PARTITION BY position) - 1) / 2.0 AS rb FROM a)
+SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r
+""")
+def pooled_spearman(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks by quantity within orders against the places of the lines, over all orders together."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")  # an order's few lines
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(w).alias("position"), F.floor(F.col("l_quantity") / 10).cast("double").alias("score"))
+    return stats.pooled_spearman(rows, "l_orderkey").select("n", F.round("rho", 6).alias("rho"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, CAST(l_orderkey % 2 AS VARCHAR) AS doc_db, CASE l_orderkey % 3 WHEN 0 THEN 'base' ELSE 'legal' END AS query_embedding, list_slice(list(l_partkey % 40 ORDER BY l_linenumber, l_partkey), 1, 7) AS f, list_distinct(list(l_suppkey % 40) FILTER (l_quantity > 5)) AS gold0 FROM lineitem GROUP BY 1, 2, 3),
+k AS (SELECT g.*, coalesce(gold0, []) AS gold, k FROM g, (VALUES (2), (5)) t(k)), h AS (SELECT *, list_slice(f, 1, k) AS ff FROM k),
+m AS (SELECT *, len(list_intersect(list_distinct(ff), gold)) / len(list_distinct(ff)) AS p, CASE WHEN len(gold) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(ff), gold)) / len(gold) END AS r,
+ coalesce(1.0 / list_min(list_filter(list_transform(ff, lambda x, i: CASE WHEN list_contains(gold, x) THEN i END), lambda z: z IS NOT NULL)), 0) AS rr,
+ CASE WHEN len(gold) = 0 THEN 0.0 ELSE list_sum(list_transform(ff, lambda x, i: CASE WHEN list_contains(gold, x) THEN 1.0 / log2(i + 1) ELSE 0.0 END)) / list_sum(list_transform(range(1, least(len(gold), k) + 1), lambda i: 1.0 / log2(i + 1))) END AS nd FROM h)
+SELECT doc_db, query_embedding, CAST(k AS INTEGER) AS k, count(*) AS n_questions, count(*) FILTER (len(gold) > 0) AS n_recall, round(avg(p), 6) AS p, round(avg(r), 6) AS r, round(avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END), 6) AS f1, round(avg(rr), 6) AS mrr, round(avg(nd), 6) AS ndcg FROM m GROUP BY 1, 2, 3
+""")
+def eval_full(spark: SparkSession, d: str) -> DataFrame:
+    """Five metrics at two k by (doc_db, query_embedding); some questions have no gold."""
+    l = table(spark, d, "lineitem")
+    runs = l.groupBy("l_orderkey").agg(
+        F.slice(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"] % 40), 1, 7).alias("found"), F.collect_set(F.when(F.col("l_quantity") > 5, F.col("l_suppkey") % 40)).alias("gold"),
+    )
+    runs = runs.select((F.col("l_orderkey") % 2).cast("string").alias("doc_db"), F.when(F.col("l_orderkey") % 3 == 0, "base").otherwise("legal").alias("query_embedding"), "found", "gold")
+    out = evaluate(runs, ["doc_db", "query_embedding"], (2, 5))
+    rows = [F.struct(F.lit(k).alias("k"), *[F.round(F.col(f"`{m}@{k}`"), 6).alias(n) for m, n in (("precision", "p"), ("recall", "r"), ("f1", "f1"), ("mrr", "mrr"), ("ndcg", "ndcg"))]) for k in (2, 5)]
+    return out.select("doc_db", "query_embedding", "n_questions", "n_recall", F.explode(F.array(*rows)).alias("x")).select("doc_db", "query_embedding", "n_questions", "n_recall", "x.*")
+
+
 # ---- parsers and model pipelines (with the deterministic provider)
 
 
-@query()
+# pages and guides are built from the lines of orders, with a headline of each kind between them
+_HEADS = (
+    ("<h3>Conventional head</h3>", "Conventional head", "headings"), ("<p>CAPITAL HEAD</p>", "CAPITAL HEAD", "caps"), ("<p><b>Bold head</b> <strong>line</strong></p>", "Bold head line", "bold"),
+    ('<p style="font-size:9pt">SMALL CAPITALS STAY</p>', "SMALL CAPITALS STAY", ""), ('<p style="font: 9pt serif"><b>Small bold stays</b></p>', "Small bold stays", ""), ('<p style="font-size:18px">Larger line</p>', "Larger line", "size"),
+)
+_LINES = "l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, l_partkey, CAST(l_partkey % 6 AS INTEGER) AS k FROM lineitem)"
+_COUNTED = ", ".join(f"count(*) FILTER (k = {i}) AS {kind}" for i, (_, _, kind) in enumerate(_HEADS) if kind)
+_REPORT = f"WITH {_LINES}, r AS (SELECT l_orderkey, {_COUNTED}, count(*) + count(*) FILTER (k <> 0) AS paragraphs FROM l GROUP BY 1), d AS (SELECT *, size > 0.3 * paragraphs AS doubtful FROM r)"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    head = F.element_at(F.array(*(F.lit(h) for h, _, _ in _HEADS)), (F.col("l_partkey") % 6).cast("int") + 1)
+    line = F.struct("l_linenumber", "l_partkey", head.alias("head"))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    body = F.transform("ls", lambda x, i: F.concat(F.lit("<p>\n"), (i + 1).cast("string"), F.lit(". Part "), x["l_partkey"].cast("string"), F.lit(" was\xa0<i>sold</i>.</p>"), x["head"]))
+    return g.select("l_orderkey", F.concat(F.lit("<style>b {color:red}</style><body>Court "), F.array_join(body, "")).alias("html"))
+
+
+@query(_REPORT + ", t AS (SELECT l_orderkey, n, l_partkey, CASE k " + " ".join(f"WHEN {i} THEN CASE WHEN doubtful OR {str(not kind).upper()} THEN ' {text}' ELSE '' END" for i, (_, text, kind) in enumerate(_HEADS)) + " END AS rest FROM l JOIN d USING (l_orderkey)) SELECT l_orderkey, CAST(n AS INTEGER) AS paragraph_number, n || '. Part ' || l_partkey || ' was sold .' || rest AS paragraph_text FROM t")
 def judgment_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return html_paragraphs(table(spark, d, "echr_documents"))
+    return html_paragraphs(_pages(spark, d), "l_orderkey", "html")
 
 
-@query()
+@query(_REPORT + " SELECT l_orderkey, " + ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ("headings", "caps", "bold", "size", "paragraphs")) + ", doubtful FROM d")
 def judgment_headlines(spark: SparkSession, d: str) -> DataFrame:
-    return headline_report(table(spark, d, "echr_documents"))
+    return headline_report(_pages(spark, d), "l_orderkey", "html")
+
+
+@query(f"""WITH {_LINES} SELECT 'g' || l_orderkey || CASE l_orderkey % 2 WHEN 0 THEN '_eng' ELSE '_fre' END AS guide_id, CAST(n AS INTEGER) AS paragraph_id,
+ 'Part ' || l_partkey || ' was sold' || CASE n WHEN 1 THEN ', as in 1. above' ELSE '' END || CASE l_partkey % 3 WHEN 0 THEN ' <sup>' || n || '</sup>' || chr(10) || '<sup>' || n || '</sup> Note ' || l_partkey ELSE '' END AS paragraph FROM l""")
+def guide_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Guides with headings, page marks, footnotes and, in those of one language, a start string and rules of their own."""
+    part = F.col("l_partkey").cast("string")
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", part.alias("p")))).alias("ls"))
+    english, number = F.col("l_orderkey") % 2 == 0, lambda i: (i + 1).cast("string")
+    line = lambda x, i: F.concat(
+        F.when(i == 0, "").when(i % 3 == 2, F.concat(F.lit("\n- "), number(i), F.lit("."))).otherwise(F.concat(F.lit("\n"), number(i), F.lit(". "))),
+        F.when((i == 0) & ~english, F.concat(F.lit(" "), x["p"])).otherwise(F.concat(F.lit("Part "), x["p"])), F.lit(" was\xa0 sold"), F.when(i == 0, ", as in 1. above").otherwise(""),
+        F.when(x["l_partkey"] % 3 == 0, F.concat(F.lit(" <sup>"), number(i), F.lit("</sup>\n  <sup>"), number(i), F.lit("</sup> Note "), x["p"])).otherwise(""),
+        F.lit("\n## Heading 9. of it\n<span id=\"page-1\"></span>\n"), F.when(english, "").otherwise("Pied de page 77. ici\n"),
+    )
+    start = F.when(english, "1. no\nHUDOC keywords\nkey\n1. ").otherwise("Avant\n1. Part")
+    end = F.when(english, "\nList of cited cases\n8. no").otherwise("\nListe des affaires citées\n8. no")
+    texts = g.select(F.concat(F.lit("g"), F.col("l_orderkey").cast("string"), F.when(english, "_eng").otherwise("_fre")).alias("guide_id"), F.concat(start, F.array_join(F.transform("ls", line), ""), end).alias("text"))
+    french = texts.where("endswith(guide_id, '_fre')").select("guide_id")
+    told = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("ord"), F.lit(p).alias("pattern"), F.lit("").alias("replacement")) for i, (k, p) in enumerate((("start", "1. Part"), ("remove", "^Pied de page.*$")))))
+    rules = french.select("guide_id", F.explode(told).alias("x")).select("guide_id", "x.*")
+    return parse_guides(texts, rules)
 
 
 def qa_groups(extractions: DataFrame) -> DataFrame:
