@@ -114,9 +114,8 @@ class Endings:
         return self
 
     def doubted(self, text: str) -> str | None:
-        """The last word of a text that counts as broken off only because that word, in small letters, is rare in the sample."""
-        text = core(text)
-        if self.unclosed(text) or self.complete(text) > 0 or self.complete(text, trusting=True) == 0:
+        """The last word of a text (its core) that counts as broken off only because that word, in small letters, is rare in the sample."""
+        if self.complete_core(text) > 0 or self.complete_core(text, trusting=True) == 0:
             return None
         return last_tokens(text.rstrip("".join(CLOSING)))[-1]
 
@@ -185,7 +184,10 @@ class Endings:
 
     def complete(self, text: str, trusting: bool = False) -> float:
         """How surely the text, what was put after it left away, ends with a sentence, a list or the like: 0 to 1."""
-        text = core(text)
+        return self.complete_core(core(text), trusting)
+
+    def complete_core(self, text: str, trusting: bool = False) -> float:
+        """complete() of what core() left of a text."""
         if footer := FOOTER.search(text, max(0, len(text) - WINDOW)):
             text = core(text[: footer.start()]) or text
         if not text:
