@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Numbers that a cited range may span.
@@ -205,3 +205,25 @@ def year_of(date: Column) -> Column:
 
 def case_id_of(url: Column) -> Column:
     return F.substring_index(F.substring_index(url, "?i=", -1), "&", 1)
+
+
+def shrunk(text: Column, n: int, retry: int, step: int = 500) -> Column:
+    """The first n words, `step` fewer for each retry, at least one step."""
+    return first_words(text, max(step, n - step * retry))
+
+
+def vector(text: Column) -> Column:
+    """A vector written as a JSON list; null if it isn't readable as one."""
+    return F.from_json(text, "array<double>")
+
+
+def cited_facts(answer: Column, citations: Column) -> Column:
+    """facts_of() with the citations that the numbers (from 1) stand for: (text, citations); numbers without one are left out."""
+    named = lambda ns: F.filter(F.transform(ns, lambda n: F.get(citations, F.least(n, F.lit(2**31 - 1)).cast("int") - 1)), lambda c: c.isNotNull())
+    return F.transform(facts_of(answer), lambda f: F.struct(f["text"].alias("text"), named(f["numbers"]).alias("citations")))
+
+
+def logged_pairs(lines: DataFrame, column: str) -> DataFrame:
+    """(case_id, paragraph_number int) of each `('ddd-ddd', n)` in the lines of a log, repeats included."""
+    found = lines.select(F.explode(F.regexp_extract_all(column, F.lit(r"\('(\d{3}-\d+', \d+)\)"), 1)).alias("x"))
+    return found.select(F.substring_index("x", "'", 1).alias("case_id"), F.substring_index("x", " ", -1).cast("int").alias("paragraph_number"))

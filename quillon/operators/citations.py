@@ -89,3 +89,18 @@ def missing_names(judgements: DataFrame, meta: DataFrame) -> DataFrame:
     order = F.when(F.col("lang") == "eng", 0).when(F.col("lang") == "fre", 1).otherwise(2)
     best = flat.join(cases, "case_id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("case_id").orderBy(order, "lang", "docname"))).where("n = 1")
     return best.select("case_id", "docname")
+
+
+def in_languages(multilingual: Column, lang: str) -> Column:
+    """The versions of a citation in English, French and the language given."""
+    return F.map_filter(multilingual, lambda k, v: k.isin("eng", "fre", lang))
+
+
+def citation_json(c: Column) -> Column:
+    """A citation as JSON under `original_url`, whichever of its two names the URL had; citation_lists() reads it back."""
+    return F.to_json(c.withField("original_url", F.coalesce(c["original_url"], c["citation_url"])).dropFields("citation_url"))
+
+
+def language_groups(citations: Column) -> Column:
+    """Distinct language maps of an array of citations, each as its sorted entries."""
+    return F.array_distinct(F.transform(citations, lambda c: F.array_sort(F.map_entries(c["multilingual"]))))

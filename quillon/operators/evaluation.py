@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strategy
@@ -12,6 +12,15 @@ from ..functions.text import strategy
 # Configurations of runs.
 MODELS, TRANSLATIONS, DOC_EMBEDS = ("flash", "llama", "k2"), ("pre", "post", "none"), ("base", "instruct")
 SENTINELS = (-1, -2)
+# Own wording: what passages and queries are told to be when they are embedded.
+DOCUMENTS = {
+    "base": "", "passage": "Represent this passage of a judgment", "legal": "Represent this legal passage for retrieval", "cited": "Represent this passage as it may be cited", "facts": "Represent the facts of this passage", "law": "Represent the rule of law in this passage",
+    "reasoning": "Represent the reasoning of this passage", "question": "Represent the question that this passage answers", "eng": "Represent this English passage", "fre": "Represent this French passage", "ron": "Represent this Romanian passage",
+}
+QUERIES = {
+    "base": "", "search": "Search for the passage that answers the question", "legal": "Find the passage of a judgment that answers the question", "cited": "Find the passage that is cited for this statement", "support": "Find the passage that bears out this statement",
+    "rule": "Find the rule of law that applies", "similar": "Find passages with the same meaning", "ron": "Find the passage for this Romanian question", "translated": "Find the passage for this translated question",
+}
 INSTRUCTIONS = {"base": "", "legal": "Find the passage of a judgment that answers the question", "cited": "Find the passage that is cited for this statement", "ron": "Find the passage for this Romanian question"}
 
 
@@ -107,3 +116,28 @@ def sentence_texts(citations_json: Column) -> Column:
 
 def first_rows(df: DataFrame, ordinal: str, n: int | None) -> DataFrame:
     return df if n is None else df.orderBy(ordinal).limit(n)
+
+
+def by_model(runs: DataFrame) -> DataFrame:
+    """(model, names): the names of each model's runs, sorted."""
+    return runs.groupBy("model").agg(F.sort_array(F.collect_set("name")).alias("names"))
+
+
+def metric_table(scores: DataFrame, models: list[str]) -> DataFrame:
+    """(metric, model, value) as a row for each metric, a column for each model in the order given; means of repeats."""
+    return scores.groupBy("metric").pivot("model", models).agg(F.avg("value"))
+
+
+def sample_groups(groups: DataFrame, n_guides: int = 15, n_groups: int = 10, seed: int = 112) -> DataFrame:
+    """(guide_id, group_id, rank): groups of n_guides guides, by hash with the seed.
+
+    Guides are taken in the order of their hash; each gives at most n_groups groups, and a guide that has fewer lowers
+    that number for all after it. Null guides take no part. The running least is over the n_guides guides alone.
+    """
+    g = groups.where("guide_id IS NOT NULL").select("guide_id", "group_id").distinct()
+    hashed = lambda *parts: F.md5(F.concat(F.lit(str(seed)), *parts))
+    guides = g.groupBy("guide_id").agg(F.count("*").alias("n")).withColumn("h", hashed("guide_id")).orderBy("h", "guide_id").limit(n_guides)
+    order = Window.orderBy("h", "guide_id").rowsBetween(Window.unboundedPreceding, 0)
+    caps = guides.withColumn("cap", F.least(F.lit(n_groups), F.min("n").over(order))).select("guide_id", "cap")
+    by = Window.partitionBy("guide_id").orderBy(hashed("guide_id", F.lit("/"), F.col("group_id").cast("string")), "group_id")
+    return g.join(F.broadcast(caps), "guide_id").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= F.col("cap")).select("guide_id", "group_id", "rank")

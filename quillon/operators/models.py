@@ -135,6 +135,24 @@ def rag_answers(questions: DataFrame, passages: DataFrame, provider: CompletionP
     )).alias("sentences"))
 
 
+def rag_experiment(name: str, questions: DataFrame, passages: DataFrame, provider: CompletionProvider, k: int = 4, lang: str = "ron") -> DataFrame:
+    """rag_answers() of a run by its name `..._<translation>`: `pre` translates the questions to English before, `post` the answers' sentences to lang after.
+
+    Columns: id, question (as it was asked), sentences.
+    """
+    translation = name.rpartition("_")[2]
+    if translation == "pre":
+        asked = translated(questions, "question", "eng", provider).withColumn("question", F.coalesce("translation", "question")).drop("translation")
+        return rag_answers(asked, passages, provider, k)
+    answers = rag_answers(questions, passages, provider, k)
+    if translation != "post":
+        return answers
+    flat = answers.select("id", F.posexplode_outer("sentences").alias("n", "s")).select("id", "n", F.col("s.sentence").alias("sentence"), F.col("s.citations").alias("citations"))
+    said = translated(flat, "sentence", lang, provider).withColumn("sentence", F.coalesce("translation", "sentence"))
+    whole = said.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("sentence").isNotNull(), F.struct("n", "sentence", "citations")))), lambda x: F.struct(x["sentence"].alias("sentence"), x["citations"].alias("citations"))).alias("sentences"))
+    return answers.select("id", "question").join(whole, "id")
+
+
 def judged_rating(reply: Column, most: int, path: str = "evaluation.rating") -> Column:
     """The rating in a judge's JSON, by pattern where that is broken; -1 if there is none or it is out of 0..most, -2 for no reply."""
     rating = F.coalesce(F.get_json_object(reply, f"$.{path}").try_cast("int"), F.nullif(F.regexp_extract(reply, rf'"{path.split(".")[-1]}"\s*:\s*"?(\d)"?', 1), F.lit("")).try_cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import citations as C
 from ..operators import stats
+from ..operators.evaluation import sample_groups
 from ..operators.guides import parse_guides
 from ..operators.judgments import headline_report, html_paragraphs
 from ..operators.models import FakeProvider, qa_pairs, rag_answers, scored
@@ -145,11 +146,11 @@ def doctype_histogram(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("doctype").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.lower("isplaceholder"), F.lit("false")) != "true").alias("n_real"), F.count_if((k >= "1990") & (k < "2006")).alias("n_in_years"), F.count_if(k.isNull() | (F.left(k, F.lit(4)) == "0001")).alias("n_undated"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (question IS NULL OR trim(question) = '') AS n_without_question, count(*) FILTER (num_paragraphs >= 4) AS n_passed, count(*) FILTER (num_paragraphs < 4) AS n_failed, count(DISTINCT (group_id, guide_id)) AS n_groups FROM question_generations")
+@query("SELECT count(*) AS n, count(*) FILTER (question IS NULL OR trim(question) = '') AS n_without_question, count(*) FILTER (num_paragraphs >= 4) AS n_passed, count(*) FILTER (num_paragraphs < 4) AS n_failed, count(*) FILTER (nullif(num_paragraphs % 5, 0) > 2) AS n_grounded, count(*) FILTER (nullif(num_paragraphs % 5, 0) <= 2) AS n_ungrounded, count(*) FILTER (nullif(num_paragraphs % 5, 0) IS NULL) AS n_not_asked, count(DISTINCT (group_id, guide_id)) AS n_groups FROM question_generations")
 def pipeline_counters(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "question_generations")
-    gate = F.col("num_paragraphs") >= 4
-    return q.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("question"), F.lit("")) == "").alias("n_without_question"), F.count_if(gate).alias("n_passed"), F.count_if(~gate).alias("n_failed"), F.countDistinct(F.struct("group_id", "guide_id")).alias("n_groups"))
+    gate, grounded = F.col("num_paragraphs") >= 4, F.nullif(F.col("num_paragraphs") % 5, F.lit(0)) > 2  # of three states: null where it wasn't asked
+    return q.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("question"), F.lit("")) == "").alias("n_without_question"), F.count_if(gate).alias("n_passed"), F.count_if(~gate).alias("n_failed"), F.count_if(grounded).alias("n_grounded"), F.count_if(~grounded).alias("n_ungrounded"), F.count_if(grounded.isNull()).alias("n_not_asked"), F.countDistinct(F.struct("group_id", "guide_id")).alias("n_groups"))
 
 
 @query("""
@@ -255,12 +256,14 @@ def all_or_nothing_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT l_orderkey, list(DISTINCT l_partkey ORDER BY l_partkey) FILTER (l_returnflag = 'R') AS gen, list(DISTINCT l_partkey ORDER BY l_partkey) FILTER (l_quantity > 25) AS gold FROM lineitem GROUP BY 1)
-SELECT l_orderkey, array_to_string(list_sort(list_filter(coalesce(gen, []), lambda x: NOT list_contains(coalesce(gold, []), x))), ',') AS only_gen, array_to_string(list_sort(list_filter(coalesce(gen, []), lambda x: list_contains(coalesce(gold, []), x))), ',') AS both_sets, array_to_string(list_sort(list_filter(coalesce(gold, []), lambda x: NOT list_contains(coalesce(gen, []), x))), ',') AS only_gold FROM g
+WITH l AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_returnflag = 'R') AS g0, list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_quantity > 25) AS h0 FROM lineitem GROUP BY 1),
+g AS (SELECT l_orderkey, coalesce(list_filter(g0, lambda x, i: list_position(g0, x) = i), []) AS gen, coalesce(list_filter(h0, lambda x, i: list_position(h0, x) = i), []) AS gold FROM l)
+SELECT l_orderkey, array_to_string(list_filter(gen, lambda x: NOT list_contains(gold, x)), ',') AS only_gen, array_to_string(list_filter(gen, lambda x: list_contains(gold, x)), ',') AS both_sets, array_to_string(list_filter(gold, lambda x: NOT list_contains(gen, x)), ',') AS only_gold FROM g
 """)
 def citation_set_diff(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem")
-    g = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey")))).alias("gen"), F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 25, F.col("l_partkey")))).alias("gold"))
+    """What only one side has and what both have, each in its side's own order."""
+    side = lambda c: F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("l_linenumber", "l_partkey")))), lambda x: x["l_partkey"]))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(side(F.col("l_returnflag") == "R").alias("gen"), side(F.col("l_quantity") > 25).alias("gold"))
     text = lambda a: F.array_join(a.cast("array<string>"), ",")
     return g.select("l_orderkey", text(F.array_except("gen", "gold")).alias("only_gen"), text(F.array_intersect("gen", "gold")).alias("both_sets"), text(F.array_except("gold", "gen")).alias("only_gold"))
 
@@ -282,6 +285,32 @@ def availability_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""
+WITH u AS (SELECT guide_id, group_id, model_name, regexp_extract(m, '(\\d{3}-\\d+)', 1) AS id FROM (SELECT guide_id, group_id, model_name, unnest(regexp_extract_all(answer, '"eng[\\\\]*": [{][\\\\]*"id[\\\\]*": [\\\\]*" *\\d{3}-\\d+')) AS m FROM question_generations))
+SELECT u.id, count(*) AS n_references, count(DISTINCT guide_id) AS n_guides FROM u ANTI JOIN echr_documents e ON e._id = u.id GROUP BY 1
+""")
+def missing_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Cited ids that the catalogue lacks, in order."""
+    ids = table(spark, d, "question_generations").select("guide_id", F.explode(F.regexp_extract_all("answer", F.lit(r'"eng[\\]*": [{][\\]*"id[\\]*": [\\]*" *(\d{3}-\d+)'), 1)).alias("id"))
+    lost = ids.join(table(spark, d, "echr_documents").select(F.col("_id").alias("id")).distinct(), "id", "left_anti")
+    return lost.groupBy("id").agg(F.count("*").alias("n_references"), F.countDistinct("guide_id").alias("n_guides")).orderBy("id")
+
+
+@query("""
+WITH u AS (SELECT DISTINCT guide_id, group_id, grouping_method, model_name, unnest(regexp_extract_all(answer, '\\d{3}-\\d{4,}')) AS id FROM question_generations WHERE guide_id IS NOT NULL AND group_id IS NOT NULL AND grouping_method IS NOT NULL AND model_name IS NOT NULL),
+k AS (SELECT u.*, e._id IS NOT NULL AS there FROM u LEFT JOIN (SELECT DISTINCT _id FROM echr_documents) e ON e._id = u.id)
+SELECT model_name, count(*) AS n_answers, count(*) FILTER (whole) AS n_complete FROM (SELECT guide_id, group_id, grouping_method, model_name, bool_and(there) AS whole FROM k GROUP BY 1, 2, 3, 4) GROUP BY 1
+""")
+def complete_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers all of whose cited ids the catalogue has, by model."""
+    key = ["guide_id", "group_id", "grouping_method", "model_name"]
+    q = table(spark, d, "question_generations").where(" AND ".join(f"{k} IS NOT NULL" for k in key))
+    ids = q.select(*key, F.explode(F.regexp_extract_all("answer", F.lit(r"(\d{3}-\d{4,})"), 1)).alias("id")).distinct()
+    there = ids.join(table(spark, d, "echr_documents").select(F.col("_id").alias("id")).distinct().withColumn("there", F.lit(True)), "id", "left")
+    whole = there.groupBy(*key).agg(F.every(F.coalesce("there", F.lit(False))).alias("whole"))
+    return whole.groupBy("model_name").agg(F.count("*").alias("n_answers"), F.count_if("whole").alias("n_complete"))
+
+
 @query("""
 WITH c AS (SELECT DISTINCT case_id FROM judgements WHERE case_id IS NOT NULL AND case_name IS NULL),
 v AS (SELECT json_extract(data, '$.lang_versions') AS v FROM meta_cache WHERE json_valid(data)),
@@ -329,15 +358,14 @@ def valid_citation_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT guide_id, group_id, CAST(rank AS INTEGER) AS rank FROM (SELECT guide_id, group_id, row_number() OVER (PARTITION BY guide_id ORDER BY md5('112' || guide_id || '/' || group_id), group_id) AS rank, guide_rank FROM (SELECT DISTINCT guide_id, group_id FROM question_generations WHERE guide_id IS NOT NULL) g JOIN
- (SELECT guide_id AS gg, row_number() OVER (ORDER BY md5('112' || guide_id)) AS guide_rank FROM (SELECT DISTINCT guide_id FROM question_generations WHERE guide_id IS NOT NULL)) r ON gg = guide_id) WHERE rank <= 10 AND guide_rank <= 15
+WITH g AS (SELECT DISTINCT guide_id, group_id FROM question_generations WHERE guide_id IS NOT NULL),
+r AS (SELECT guide_id, count(*) AS n, row_number() OVER (ORDER BY md5('112' || guide_id), guide_id) AS guide_rank FROM g GROUP BY 1 QUALIFY guide_rank <= 15), c AS (SELECT guide_id, least(10, min(n) OVER (ORDER BY guide_rank ROWS UNBOUNDED PRECEDING)) AS cap FROM r),
+k AS (SELECT g.*, row_number() OVER (PARTITION BY guide_id ORDER BY md5('112' || guide_id || '/' || group_id), group_id) AS rank FROM g)
+SELECT k.guide_id, k.group_id, CAST(rank AS INTEGER) AS rank FROM k JOIN c ON c.guide_id = k.guide_id WHERE rank <= cap
 """)
 def seeded_group_sample(spark: SparkSession, d: str) -> DataFrame:
-    """15 guides, then up to 10 groups of each, by hash with seed: the sampling operator itself."""
-    g = table(spark, d, "question_generations").where("guide_id IS NOT NULL").select("guide_id", "group_id").distinct()
-    guides = g.select("guide_id").distinct().withColumn("h", F.md5(F.concat(F.lit("112"), "guide_id"))).orderBy("h").limit(15).select("guide_id")
-    key = F.md5(F.concat(F.lit("112"), "guide_id", F.lit("/"), F.col("group_id").cast("string")))
-    return g.join(guides, "guide_id", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("guide_id").orderBy(key, "group_id"))).where("rank <= 10")
+    """15 guides, then up to 10 groups of each, fewer after a guide that has fewer: the sampling operator itself."""
+    return sample_groups(table(spark, d, "question_generations"))
 
 
 # ---- statistics: quantities of a supplier's parts before and after, by return flag

@@ -209,13 +209,16 @@ def guide_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return s.select("l_orderkey", (F.col("pos") + 1).alias("paragraph_id"), F.regexp_replace(X.collapse_space(F.col("part")), r"^(?:- )?\d+\. ", "").alias("paragraph"))
 
 
-@query("""
-WITH e AS (SELECT guide_id, paragraph_id, unnest(from_json(errors, '["VARCHAR"]')) AS message FROM (SELECT DISTINCT guide_id, paragraph_id, errors FROM citation_extractions WHERE errors IS NOT NULL AND json_valid(errors))),
-c AS (SELECT message, regexp_replace(regexp_replace(message, '\\b\\d{3,}-\\d+\\b', '<ID>', 'g'), 'https?://\\S+|\\bwww\\.\\S+', '<URL>', 'g') AS clean FROM e WHERE message IS NOT NULL),
-k AS (SELECT message, CASE WHEN regexp_matches(message, '(?i)Failed to fetch .*judgment') THEN 'Failed to fetch judgment' WHEN regexp_matches(message, '(?i)Failed to fetch .* for citation') THEN 'Failed to fetch resource for citation'
+_CLEAN = "regexp_replace(regexp_replace(message, '\\b\\d{3,}-\\d+\\b', '<ID>', 'g'), 'https?://\\S+|\\bwww\\.\\S+', '<URL>', 'g')"
+_CATEGORY = """CASE WHEN regexp_matches(message, '(?i)Failed to fetch .*judgment') THEN 'Failed to fetch judgment' WHEN regexp_matches(message, '(?i)Failed to fetch .* for citation') THEN 'Failed to fetch resource for citation'
  WHEN contains(lower(clean), 'year mismatch') THEN 'Year mismatch' WHEN contains(lower(clean), 'link mismatch') THEN 'Link mismatch' WHEN contains(lower(clean), 'unconsumed links') THEN 'Unconsumed links' WHEN contains(lower(clean), 'still links in the stripped sentences') THEN 'Links in stripped sentences'
  WHEN contains(lower(clean), 'no ```json block found') THEN 'JSON block not found' WHEN contains(lower(clean), 'invalid json format') THEN 'Invalid JSON' WHEN contains(lower(clean), 'no paragraphs provided') THEN 'No paragraphs in citation' WHEN contains(lower(clean), 'missing field') THEN 'Missing field in citation'
- ELSE left(trim(regexp_extract(clean, '^(.+?)(?:[:.\\-]| for citation| for |$)', 1)), 120) END AS category FROM c)
+ ELSE left(trim(regexp_extract(clean, '^(.+?)(?:[:.\\-]| for citation| for |$)', 1)), 120) END"""
+
+
+@query(f"""
+WITH e AS (SELECT guide_id, paragraph_id, unnest(from_json(errors, '["VARCHAR"]')) AS message FROM (SELECT DISTINCT guide_id, paragraph_id, errors FROM citation_extractions WHERE errors IS NOT NULL AND json_valid(errors))),
+c AS (SELECT message, {_CLEAN} AS clean FROM e WHERE message IS NOT NULL), k AS (SELECT message, {_CATEGORY} AS category FROM c)
 SELECT category, count(*) AS n, min(message) AS first_message FROM k GROUP BY 1
 """)
 def error_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -223,17 +226,26 @@ def error_categories(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(X.error_category(F.col("message")).alias("category")).agg(F.count("*").alias("n"), F.min("message").alias("first_message"))
 
 
-@query("""
-WITH e AS (SELECT DISTINCT guide_id, paragraph_id, errors FROM citation_extractions WHERE errors IS NOT NULL AND json_valid(errors)),
-r AS (SELECT guide_id, paragraph_id, list_sort(list_distinct(list_transform(from_json(errors, '["VARCHAR"]'), lambda m: trim(regexp_replace(m, '[0-9(].*$', ''))))) AS kinds FROM e WHERE json_array_length(errors) > 0)
-SELECT array_to_string(kinds, ' + ') AS combination, count(*) AS n, min(guide_id || '/' || paragraph_id) AS example FROM r GROUP BY 1
+@query(f"""
+WITH d AS (SELECT DISTINCT guide_id, paragraph_id, errors FROM citation_extractions WHERE errors IS NOT NULL AND json_valid(errors)), e AS (SELECT guide_id, paragraph_id, errors, unnest(from_json(errors, '["VARCHAR"]')) AS message FROM d),
+c AS (SELECT *, {_CLEAN} AS clean FROM e), k AS (SELECT guide_id, paragraph_id, errors, {_CATEGORY} AS category FROM c), r AS (SELECT guide_id, paragraph_id, errors, string_agg(DISTINCT category, ' + ' ORDER BY category) AS combination FROM k GROUP BY 1, 2, 3)
+SELECT combination, count(*) AS n, min(guide_id || '/' || paragraph_id) AS example FROM r GROUP BY 1
 """)
 def error_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by the set of their errors' categories."""
     e = table(spark, d, "citation_extractions").select("guide_id", "paragraph_id", "errors").distinct().withColumn("m", F.from_json("errors", "array<string>")).where("size(m) > 0")
-    kinds = F.array_sort(F.array_distinct(F.transform("m", lambda x: F.trim(F.regexp_replace(x, r"[0-9(].*$", "")))))
+    kinds = F.array_sort(F.array_distinct(F.transform("m", X.error_category)))
     return e.groupBy(F.array_join(kinds, " + ").alias("combination")).agg(F.count("*").alias("n"), F.min(F.concat("guide_id", F.lit("/"), "paragraph_id")).alias("example"))
 
 
+@query("SELECT case_id, paragraph_number, count(*) AS n FROM judgements WHERE case_name IS NULL AND regexp_full_match(case_id, '\\d{3}-\\d+') AND paragraph_number IS NOT NULL GROUP BY 1, 2")
+def missing_log(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of id and paragraph out of the lines of a log, with how often they stand there; the lines are built from judgments without a name."""
+    said = F.concat(F.lit("Batch 7: missing [('"), "case_id", F.lit("', "), F.col("paragraph_number").cast("string"), F.lit(")] of 12"))
+    lines = table(spark, d, "judgements").where("case_name IS NULL").select(said.alias("line"))
+    return X.logged_pairs(lines, "line").groupBy("case_id", "paragraph_number").agg(F.count("*").alias("n"))
+
+
 @query("""
 SELECT regexp_extract(m, '(\\d{3}-\\d+)', 1) AS case_id, count(*) AS n FROM (SELECT unnest(regexp_extract_all(citations, '\\d{3}-\\d+')) AS m FROM citation_extractions) GROUP BY 1
 """)

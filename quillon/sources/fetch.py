@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.judgments import html_paragraphs
@@ -26,6 +27,37 @@ class NoFetcher:
         return None
 
 
+def with_retry(call: Callable, *args: object, retries: int = 3, delay: float = 1.0) -> object:
+    """call(*args), tried again where it fails: `retries` times at most, waiting twice as long each time; the last error is raised."""
+    for attempt in range(retries):
+        try:
+            return call(*args)
+        except Exception:
+            if attempt + 1 == retries:
+                raise
+            time.sleep(delay * 2**attempt)
+    return None
+
+
+class RetryingFetcher:
+    """A fetcher that tries again, and gives None where it fails for good."""
+
+    def __init__(self, fetcher: Fetcher, retries: int = 3, delay: float = 1.0) -> None:
+        self.fetcher, self.retries, self.delay = fetcher, retries, delay
+
+    def get(self, case_id: str) -> str | None:
+        try:
+            return with_retry(self.fetcher.get, case_id, retries=self.retries, delay=self.delay)
+        except Exception:  # noqa: BLE001
+            return None
+
+
+def observed(df: DataFrame, name: str, **conditions: str) -> tuple[DataFrame, Observation]:
+    """df and its counters, filled when df is run: `rows` and, for each name, the rows that meet its condition."""
+    counters = Observation(name)
+    return df.observe(counters, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.expr(c)).alias(n) for n, c in conditions.items()]), counters
+
+
 def fetch_judgments(wanted: DataFrame, cache: DataFrame, store: DataFrame, fetcher: Fetcher) -> tuple[DataFrame, DataFrame]:
     """Texts of wanted (case_id, paragraph_number): (rows with paragraph_text and tier, new cache rows).
 

@@ -7,14 +7,21 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with header, doubled quotes and line breaks in fields; columns named `Unnamed...` are left out."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', schema=schema, mode="PERMISSIVE")
-    return df.select(*[c for c in df.columns if not c.startswith("Unnamed")])
+    """The columns of the schema from a CSV with header, by name; doubled quotes and line breaks in fields.
+
+    Other columns of the file, such as an unnamed index, are left out; a column that it lacks is null.
+    """
+    header = spark.read.csv(path, header=True, multiLine=True, escape='"').columns
+    named = [c for c in header if not c.startswith("Unnamed")]
+    wanted = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema)}
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', schema=", ".join(f"`{c}` {wanted.get(c, 'string')}" for c in header), mode="PERMISSIVE")
+    df = df.select(*[F.col(f"`{c}`") for c in named if c in wanted], *[F.lit(None).cast(t).alias(c) for c, t in wanted.items() if c not in named]).select(*[f"`{c}`" for c in wanted])
+    return df
 
 
 def read_csv_folder(spark: SparkSession, pattern: str, schema: str, prefix: str = "") -> DataFrame:
@@ -45,6 +52,16 @@ class _Slice(InputPartition):
 class _SqliteReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.schema, self.options = schema, options
+        self.where: list[tuple[str, list]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equality with a value and membership in a list go to the database (where spark.sql.python.filterPushdown.enabled is on), others are left to Spark."""
+        for f in filters:
+            values = [f.value] if isinstance(f, EqualTo) else list(f.value) if isinstance(f, In) else None
+            if values is not None and len(f.attribute) == 1 and all(isinstance(v, str | int | float) for v in values):
+                self.where.append((f.attribute[0], values))
+            else:
+                yield f
 
     def partitions(self) -> list[_Slice]:
         n = int(self.options.get("partitions", 4))
@@ -58,7 +75,8 @@ class _SqliteReader(DataSourceReader):
     def read(self, part: _Slice) -> Iterator[tuple]:
         columns = ", ".join(f'"{f.name}"' for f in self.schema)
         with sqlite3.connect(self.options["path"]) as db:
-            yield from db.execute(f'SELECT {columns} FROM "{self.options["table"]}" WHERE rowid >= ? AND rowid < ?', (part.low, part.high))
+            told = "".join(f' AND "{name}" IN ({", ".join("?" * len(values))})' for name, values in self.where)
+            yield from db.execute(f'SELECT {columns} FROM "{self.options["table"]}" WHERE rowid >= ? AND rowid < ?{told}', (part.low, part.high, *(v for _, values in self.where for v in values)))
 
 
 class SqliteSource(DataSource):
