@@ -54,15 +54,6 @@ class _SqliteReader(DataSourceReader):
         self.schema, self.options = schema, options
         self.where: list[tuple[str, list]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality with a value and membership in a list go to the database (where spark.sql.python.filterPushdown.enabled is on), others are left to Spark."""
-        for f in filters:
-            values = [f.value] if isinstance(f, EqualTo) else list(f.value) if isinstance(f, In) else None
-            if values is not None and len(f.attribute) == 1 and all(isinstance(v, str | int | float) for v in values):
-                self.where.append((f.attribute[0], values))
-            else:
-                yield f
-
     def partitions(self) -> list[_Slice]:
         n = int(self.options.get("partitions", 4))
         with sqlite3.connect(self.options["path"]) as db:
@@ -79,8 +70,23 @@ class _SqliteReader(DataSourceReader):
             yield from db.execute(f'SELECT {columns} FROM "{self.options["table"]}" WHERE rowid >= ? AND rowid < ?{told}', (part.low, part.high, *(v for _, values in self.where for v in values)))
 
 
+class _PushingReader(_SqliteReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equality with a value and membership in a list go to the database, others are left to Spark."""
+        for f in filters:
+            values = [f.value] if isinstance(f, EqualTo) else list(f.value) if isinstance(f, In) else None
+            if values is not None and len(f.attribute) == 1 and all(isinstance(v, str | int | float) for v in values):
+                self.where.append((f.attribute[0], values))
+            else:
+                yield f
+
+
 class SqliteSource(DataSource):
-    """spark.read.format("sqlite").option("path", ...).option("table", ...): slices of rowid in parallel."""
+    """spark.read.format("sqlite").option("path", ...).option("table", ...): slices of rowid in parallel.
+
+    With option("pushdown", "true"), which needs spark.sql.python.filterPushdown.enabled, lookups by value run in the
+    database; read_sqlite() sets both.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -93,7 +99,15 @@ class SqliteSource(DataSource):
         return StructType([StructField(c[1], kinds.get((c[2] or "").upper()[:4].replace("INTE", "INT"), StringType())) for c in info])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _SqliteReader(schema, dict(self.options))
+        kind = _PushingReader if self.options.get("pushdown", "false") == "true" else _SqliteReader
+        return kind(schema, dict(self.options))
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 4) -> DataFrame:
+    """A table of an SQLite file; comparisons with a value or a list of values run in the database."""
+    spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).option("pushdown", "true").load()
 
 
 def load_csv_tables(spark: SparkSession, folder: str, schema: str, prefix: str = "e_") -> list[str]:

@@ -1,17 +1,24 @@
 """Sinks, parsers, pipelines, entry points and plans."""
 
+import glob
 import json
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 import __spark_entry__ as entry
+from quillon.functions import text as X
 from quillon.operators import citations as C
-from quillon.operators import guides, judgments, models, retrieval
+from quillon.operators import embedding, evaluation, guides, judgments, models, retrieval
 from quillon.operators.retrieval import f1, ndcg, precision, recall, reciprocal_rank, top_k
+from quillon.plans import catalogue, problems
 from quillon.plans.report_queries import qa_groups
-from quillon.sources import readers, sinks
+from quillon.session import scratch_dir
+from quillon.sources import fetch, readers, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +55,12 @@ def test_sqlite_source(spark, tmp_path):
     spark.dataSource.register(readers.SqliteSource)
     df = spark.read.format("sqlite").option("path", str(tmp_path / "x.db")).option("table", "t").load()
     assert df.agg(F.count("*"), F.sum("id"), F.sum("v")).first()[:] == (25, 300, 150.0)
+    again = readers.read_sqlite(spark, str(tmp_path / "x.db"), "t")
+    assert sorted(r["id"] for r in again.where("name IN ('n3', 'n20') AND v > 2").collect()) == [20]
+    assert [r["name"] for r in again.where("id = 7").collect()] == ["n7"]
+    reader = readers._PushingReader(again.schema, {})
+    assert not list(reader.pushFilters([EqualTo(("id",), 7), In(("name",), ("a", "b"))])) and reader.where == [("id", [7]), ("name", ["a", "b"])]
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 def test_guides(spark):
@@ -183,9 +196,41 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(queries) and len(queries) > 40
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("p")))
-def test_queries_run(spark, name):
-    assert entry.queries()[name](spark, SF).columns
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def plain(value):
+    if value is None or isinstance(value, bool | str):
+        return value
+    if isinstance(value, int | float):
+        return "nan" if value != value else round(float(value), 6) + 0.0
+    return str(value)
+
+
+CORE = catalogue.queries() | problems.queries()
+CORE_SQL = catalogue.oracle_sql() | problems.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(CORE))
+def test_queries_give_what_their_sql_gives(spark, duck, name):
+    """Every query is run over its whole tables; those without SQL must give rows of their schema."""
+    df = CORE[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    if name not in CORE_SQL:
+        assert got and len(set(columns)) == len(columns)
+        return
+    result = duck.execute(CORE_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
 
 
 def test_plans_have_no_cartesian_product(spark):
@@ -255,3 +300,89 @@ def test_guides_of_any_number_of_paragraphs(spark):
 
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", guides.number_of_paragraphs(F.col("t")).alias("n")).collect()
     assert [r["n"] for r in got] == [plain(r["t"]) for r in got]
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    (tmp_path / "x.csv").write_text(',b,Unnamed: 0,a,other\n0,"x\ny",7,1,z\n')
+    row = readers.read_csv(spark, str(tmp_path / "x.csv"), "a int, b string, missing double").first()
+    assert row.asDict() == {"a": 1, "b": "x\ny", "missing": None}
+
+
+def test_retries_and_counters(spark):
+    class Shaky:
+        def __init__(self, fails):
+            self.fails = fails
+
+        def get(self, case_id):
+            self.fails -= 1
+            if self.fails >= 0:
+                raise OSError("not now")
+            return f"<p>{case_id}"
+
+        def embed(self, texts):
+            self.get("")
+            return np.ones((len(texts), 2))
+
+    assert fetch.RetryingFetcher(Shaky(2), delay=0).get("x") == "<p>x" and fetch.RetryingFetcher(Shaky(3), delay=0).get("x") is None
+    with pytest.raises(OSError, match="not now"):
+        fetch.with_retry(Shaky(9).get, "x", delay=0)
+    patient = embedding.RetryingEmbedder(Shaky(4), wait=0)
+    assert patient.embed(["a"]).shape == (1, 2)
+    halted = embedding.RetryingEmbedder(Shaky(99), wait=0)
+    texts = spark.createDataFrame([("a",), ("b",)], "t string")
+    assert embedding.embed_missing(texts, "t", None, halted).count() == 0 and halted.embed(["a"]) is None
+    seen, counters = fetch.observed(spark.range(10).toDF("i"), "numbers", small="i < 3")
+    seen.collect()
+    assert counters.get == {"rows": 10, "small": 3}
+
+
+def test_sweep_embeds_equal_texts_once(spark):
+    texts = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string")
+    rows = embedding.sweep(texts, "t", {"base": "", "same": "", "law": "Find law"}, embedding.FakeEmbedder(4)).collect()
+    vectors = {(r["instruction"], r["t"]): tuple(r["embedding"]) for r in rows}
+    assert len(rows) == 6 and vectors["base", "a"] == vectors["same", "a"] != vectors["law", "a"]
+    assert len(evaluation.DOCUMENTS) == 11 and len(evaluation.QUERIES) == 9
+
+
+def test_translation_variants(spark):
+    class Told:
+        name = "told"
+
+        def complete(self, prompts):
+            return [f"<{p[:16]}>" if p.startswith("Translate") else ("It is so [Doc 1].\nOr not [Doc 0, 9]." if "<Translate" not in p else "Asked in English [Doc 2].") for p in prompts]
+
+    v = spark.createDataFrame([(i, [1.0, float(i)], f"text {i}") for i in range(1, 5)], "id long, embedding array<double>, text string")
+    q = spark.createDataFrame([(1, "De ce?", [1.0, 1.0])], "id long, question string, embedding array<double>")
+    got = {n: models.rag_experiment(f"doc_base_query_base_m_{n}", q, v, Told()).first()["sentences"] for n in ("none", "pre", "post")}
+    assert [s["sentence"] for s in got["none"]] == ["It is so.", "Or not."] and got["none"][1]["citations"] == [] and len(got["none"][0]["citations"]) == 1
+    assert [s["sentence"] for s in got["pre"]] == ["Asked in English."] and [s["sentence"] for s in got["post"]] == ["<Translate to ROM>"] * 2
+
+
+def test_small_operators(spark):
+    row = spark.createDataFrame([("One [1]. Two [3, 2]. Three [9].", ["a", "b", "c"], "[1, 2.5]", "x")], "answer string, cits array<string>, v string, bad string")
+    facts = row.select(X.cited_facts(F.col("answer"), F.col("cits")).alias("f")).first()["f"]
+    assert [(f["text"], f["citations"]) for f in facts] == [("One.", ["a"]), ("Two.", ["b", "c"]), ("Three.", [])]
+    assert row.select(X.vector(F.col("v")), X.vector(F.col("bad")), X.shrunk(F.lit("w " * 1200), 1200, 1), X.shrunk(F.lit("w " * 900), 600, 9)).first()[:] == ([1.0, 2.5], None, "w " * 699 + "w", "w " * 499 + "w")
+    c = spark.createDataFrame([('[[{"citation_url": "u", "multilingual": {"eng": {"id": "1"}, "deu": {"id": "3"}, "ron": {"id": "2"}}}, {"original_url": "v", "multilingual": {"ron": {"id": "2"}, "deu": {"id": "3"}, "eng": {"id": "1"}}}]]',)], "c string")
+    cs = c.select(F.flatten(C.citation_lists(F.col("c"))).alias("cs"))
+    assert cs.select(F.size(C.language_groups(F.col("cs")))).first()[0] == 1
+    one = cs.select(F.explode("cs").alias("c")).select(C.citation_json(F.col("c")).alias("j"), F.map_keys(C.in_languages(F.col("c.multilingual"), "ron")).alias("k")).collect()
+    assert [json.loads(r["j"])["original_url"] for r in one] == ["u", "v"] and all(sorted(r["k"]) == ["eng", "ron"] for r in one)
+    runs = evaluation.registry(spark)
+    assert {r["model"]: len(r["names"]) for r in evaluation.by_model(runs).collect()} == {m: 12 for m in evaluation.MODELS}
+    scores = spark.createDataFrame([("r", "b", 1.0), ("r", "a", 2.0), ("r", "a", 4.0), ("p", "b", 0.5)], "metric string, model string, value double")
+    assert {r["metric"]: (r["b"], r["a"]) for r in evaluation.metric_table(scores, ["b", "a"]).collect()} == {"r": (1.0, 3.0), "p": (0.5, None)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(Session())
