@@ -97,12 +97,12 @@ def completeness(spark: SparkSession, d: str) -> DataFrame:
     return marks.select("_id", "counter", E.complete_rows(marks, ["docname", "kpdate", "html"]).alias("complete"))
 
 
-@query()
+@query("WITH t AS (SELECT question AS q FROM question_generations UNION SELECT paragraphs FROM question_generations) SELECT md5(q) AS key, CAST(16 AS INTEGER) AS dim FROM t WHERE q IS NOT NULL AND q NOT IN (SELECT query FROM query_embeddings WHERE query IS NOT NULL)")
 def embedding_backlog(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the deterministic embedder for distinct paragraphs that have none."""
     q = table(spark, d, "question_generations").select(F.col("question").alias("query"))
     p = table(spark, d, "question_generations").select(F.col("paragraphs").alias("query"))
-    return embed_missing(q.union(p), "query", table(spark, d, "query_embeddings").where("query IS NOT NULL"), FakeEmbedder()).select(F.md5("query").alias("key"), F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(0)), 3).alias("first"))
+    return embed_missing(q.union(p), "query", table(spark, d, "query_embeddings").where("query IS NOT NULL"), FakeEmbedder()).select(F.md5("query").alias("key"), F.size("embedding").alias("dim"))
 
 
 @query()

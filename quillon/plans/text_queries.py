@@ -270,7 +270,19 @@ def citation_rows(spark: SparkSession, d: str) -> DataFrame:
     return _citations(spark, d).select("guide_id", "paragraph_id", "s", "i", F.try_element_at(c["multilingual"], F.lit("eng"))["docname"].alias("eng_name"), c["citation_year"].alias("year"), F.when(c["citation_paragraphs"].isNull(), 0).otherwise(F.size(c["citation_paragraphs"])).alias("n_paragraphs"))
 
 
-@query()
+_ROWS = """
+WITH r AS (SELECT DISTINCT guide_id, paragraph_id, citations FROM citation_extractions WHERE json_valid(citations)),
+a AS (SELECT guide_id, paragraph_id, generate_subscripts(x, 1) - 1 AS s, unnest(x) AS y FROM (SELECT guide_id, paragraph_id, from_json(citations, '[["JSON"]]') AS x FROM r)),
+c AS (SELECT guide_id, paragraph_id, CAST(s AS INTEGER) AS s, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS i, unnest(y) AS c FROM a)
+"""
+_NAMES = "list_filter([{}], lambda n: n IS NOT NULL)".format
+_DOCNAME = "json_extract_string(c, '$.multilingual.{}.docname')".format
+_NAMED = """coalesce(json_extract_string(c, '$.citation_year'), '0') || CASE WHEN json_array_length(c, '$.citation_tags') > 0 THEN ' ' || array_to_string(from_json(json_extract(c, '$.citation_tags'), '["VARCHAR"]'), ' ') ELSE '' END || ', ' || coalesce(nullif({0}[1], ''), 'Unknown Case') || ', ' ||
+ CASE WHEN json_array_length(c, '$.citation_paragraphs') > 0 THEN 'Paragraphs: ' || array_to_string(from_json(json_extract(c, '$.citation_paragraphs'), '["VARCHAR"]'), ', ') ELSE 'No paragraphs' END || CASE WHEN len(list_filter({0}[2:], lambda n: n <> '')) > 0 THEN ', Alternative names: ' || array_to_string(list_filter({0}[2:], lambda n: n <> ''), ', ') ELSE '' END"""
+_FRENCH, _ROMANIAN = _NAMED.format("names"), _NAMED.format("ron_names")
+
+
+@query(_ROWS + f", n AS (SELECT *, {_NAMES(_DOCNAME('fre') + ', ' + _DOCNAME('eng'))} AS names, {_NAMES(', '.join(map(_DOCNAME, ('ron', 'fre', 'eng'))))} AS ron_names FROM c) SELECT guide_id, paragraph_id, s, i, {_FRENCH} AS named, {_ROMANIAN} AS named_ron FROM n")
 def citation_names(spark: SparkSession, d: str) -> DataFrame:
     return _citations(spark, d).select("guide_id", "paragraph_id", "s", "i", C.citation_string(F.col("c")).alias("named"), C.citation_string(F.col("c"), "ron").alias("named_ron"))
 
