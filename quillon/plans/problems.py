@@ -35,7 +35,7 @@ n AS (SELECT k0, k1, k2, k3, fact_pos, citation_pos, CAST(unnest(range(TRY_CAST(
 SELECT DISTINCT k0 AS guide_id, k1 AS group_id, k2 AS grouping_method, k3 AS model_name, CAST(fact_pos AS INTEGER) AS fact_pos, CAST(citation_pos AS INTEGER) AS citation_pos, kind AS child_kind, lang AS child_lang, key AS child_key FROM
  (SELECT k0, k1, k2, k3, fact_pos, citation_pos, 'language' AS kind, lower(trim(lang)) AS lang, trim(id) AS key FROM v WHERE trim(id) <> '' AND lang IS NOT NULL UNION ALL SELECT k0, k1, k2, k3, fact_pos, citation_pos, 'paragraph', '', key FROM n)
 """
-_NORMAL = """CASE WHEN contains({0}, '?i=') OR NOT contains({0}, '#') THEN {0} ELSE coalesce('https://' || nullif(regexp_extract({0}, '^[a-z]+://([^/#?]+)/+([^/#?]+)', 1), '') || '/' || nullif(regexp_extract({0}, '^[a-z]+://([^/#?]+)/+([^/#?]+)', 2), '') || '?i=' ||
+NORMAL_URL = """CASE WHEN contains({0}, '?i=') OR NOT contains({0}, '#') THEN {0} ELSE coalesce('https://' || nullif(regexp_extract({0}, '^[a-z]+://([^/#?]+)/+([^/#?]+)', 1), '') || '/' || nullif(regexp_extract({0}, '^[a-z]+://([^/#?]+)/+([^/#?]+)', 2), '') || '?i=' ||
  nullif(regexp_extract(url_decode(substr({0}, strpos({0}, '#') + 1)), '(?:itemid|ItemId|ITEMID)"?\\s*:\\s*\\[\\s*"([^"]*)"[^\\]]*\\]', 1), ''), {0}) END"""
 _MISSING = f"""WITH {_CITED},
 e0 AS (SELECT guide_id, paragraph_id, updated_at, citations FROM citation_extractions WHERE guide_id IS NOT NULL AND paragraph_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY guide_id, paragraph_id ORDER BY updated_at DESC NULLS LAST, citations DESC NULLS LAST) = 1),
@@ -46,7 +46,7 @@ refs AS (SELECT 'question_generations' AS src_table, k0 AS guide_id, CAST(k1 AS
  UNION ALL SELECT 'question_generations', k0, CAST(k1 AS VARCHAR), k2, k3, 'original_url', coalesce(nullif(trim(json_extract_string(c, '$.original_url')), ''), json_extract_string(c, '$.citation_url')), NULL, {_YEAR} FROM c WHERE json_type(c) = 'OBJECT'
  UNION ALL SELECT 'citation_extractions', guide_id, paragraph_id, '', '', 'multilingual', trim(CASE json_type(v) WHEN 'OBJECT' THEN json_extract_string(v, '$.id') WHEN 'VARCHAR' THEN v ->> '$' END), updated_at, coalesce(strftime(updated_at, '%Y-%m'), '') FROM ei
  UNION ALL SELECT 'citation_extractions', guide_id, paragraph_id, '', '', 'original_url', coalesce(nullif(trim(json_extract_string(c, '$.original_url')), ''), json_extract_string(c, '$.citation_url')), updated_at, coalesce(strftime(updated_at, '%Y-%m'), '') FROM e),
-r AS (SELECT DISTINCT src_table, guide_id, unit_id, grouping_method, model_name, ref_field, CASE WHEN ref_field = 'original_url' THEN {_NORMAL.format("ref_key")} ELSE ref_key END AS ref_key, t, period FROM refs WHERE trim(ref_key) <> ''),
+r AS (SELECT DISTINCT src_table, guide_id, unit_id, grouping_method, model_name, ref_field, CASE WHEN ref_field = 'original_url' THEN {NORMAL_URL.format("ref_key")} ELSE ref_key END AS ref_key, t, period FROM refs WHERE trim(ref_key) <> ''),
 urls AS (SELECT url, CASE WHEN count(*) = count(created_at) THEN min(created_at) END AS first_at FROM meta_cache WHERE url IS NOT NULL GROUP BY 1), ids AS (SELECT trim(_id) AS id, bool_and(coalesce(lower(trim(isplaceholder)) = 'true', false)) AS gone FROM echr_documents WHERE _id IS NOT NULL GROUP BY 1),
 s AS (SELECT r.*, CASE WHEN ref_field = 'original_url' THEN CASE WHEN url IS NULL THEN 'missing' WHEN first_at > t THEN 'late' END ELSE CASE WHEN id IS NULL THEN 'missing' WHEN gone THEN 'deleted' END END AS status FROM r LEFT JOIN urls ON ref_field = 'original_url' AND url = ref_key LEFT JOIN ids ON ref_field = 'multilingual' AND id = ref_key)
 """

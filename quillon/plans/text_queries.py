@@ -10,6 +10,7 @@ from ..functions.urls import normal_url, normal_urls
 from ..operators import citations as C
 from ..operators.guides import split_paragraphs
 from ..session import table
+from .problems import NORMAL_URL
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -287,7 +288,14 @@ def citation_names(spark: SparkSession, d: str) -> DataFrame:
     return _citations(spark, d).select("guide_id", "paragraph_id", "s", "i", C.citation_string(F.col("c")).alias("named"), C.citation_string(F.col("c"), "ron").alias("named_ron"))
 
 
-@query()
+@query(_ROWS.replace("WITH", "WITH RECURSIVE", 1) + """,
+k AS (SELECT row_number() OVER () AS id, * FROM c), m AS (SELECT id, json_extract(c, '$.multilingual') AS m FROM k), v AS (SELECT id, m, unnest(json_keys(m)) AS lang FROM m WHERE json_type(m) = 'OBJECT'),
+t AS (SELECT id, trim(json_extract_string(m, '$."' || lang || '".id')) AS t FROM v), i AS (SELECT id, list(DISTINCT t ORDER BY t) AS ids FROM t WHERE t <> '' GROUP BY 1),
+f AS (SELECT guide_id, paragraph_id, s, k.i, coalesce(from_json(json_extract(c, '$.citation_paragraphs'), '["VARCHAR"]'), []) AS pars, coalesce(ids, []) AS ids FROM k LEFT JOIN i ON i.id = k.id),
+g AS (SELECT row_number() OVER () AS id, guide_id, paragraph_id, list({'pars': pars, 'ids': ids} ORDER BY s, i, pars, ids) AS a FROM f GROUP BY guide_id, paragraph_id),
+st AS (SELECT id, 0 AS n, []::INTEGER[] AS kept FROM g UNION ALL SELECT st.id, n + 1, CASE WHEN len(list_filter(kept, lambda x: a[x].pars = a[n + 1].pars AND list_has_any(a[x].ids, a[n + 1].ids))) > 0 THEN kept ELSE list_append(kept, n + 1) END FROM st JOIN g ON g.id = st.id WHERE n < len(a))
+SELECT guide_id, paragraph_id, CAST(len(a) AS INTEGER) AS n_all, CAST(len(kept) AS INTEGER) AS n_kept FROM g JOIN st ON st.id = g.id AND st.n = len(a)
+""")
 def citations_merged(spark: SparkSession, d: str) -> DataFrame:
     """Citations of each paragraph without those equivalent to an earlier one."""
     c = _citations(spark, d)
@@ -295,7 +303,21 @@ def citations_merged(spark: SparkSession, d: str) -> DataFrame:
     return g.select("guide_id", "paragraph_id", F.size("all").alias("n_all"), F.size(C.merged(F.col("all"))).alias("n_kept"))
 
 
-@query()
+_LINKS = r"regexp_extract_all(paragraph_text, '\((http.*?)\)', 1)"
+_SENT = "regexp_extract_all(sentences, '" + r"\((http.*?)\)" + "', 1)"
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT guide_id, paragraph_id, paragraph_text, citations, sentences FROM citation_extractions)),
+a AS (SELECT id, generate_subscripts(x, 1) AS s, unnest(x) AS y FROM (SELECT id, from_json(citations, '[["JSON"]]') AS x FROM r WHERE json_valid(citations))), b AS (SELECT id, s, generate_subscripts(y, 1) AS i, unnest(y) AS c FROM a),
+u0 AS (SELECT id, s, i, coalesce(json_extract_string(c, '$.original_url'), json_extract_string(c, '$.citation_url'), '') AS u FROM b), u AS (SELECT id, list({NORMAL_URL.format("u")} ORDER BY s, i) AS us FROM u0 GROUP BY 1),
+l0 AS (SELECT id, list_transform({_LINKS}, lambda x: replace(replace(x, 'https', 'http'), 'http', 'https')) AS ls FROM r WHERE paragraph_text IS NOT NULL), l1 AS (SELECT id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l, ls FROM l0),
+l AS (SELECT id, list({NORMAL_URL.format("l")} ORDER BY i) FILTER (starts_with({NORMAL_URL.format("l")}, 'https://hudoc.')) AS ls FROM l1 WHERE i = 1 OR l <> ls[i - 1] GROUP BY 1),
+w AS (SELECT r.id, guide_id, paragraph_id, CASE WHEN json_valid(citations) THEN coalesce(us, []) END AS us, CASE WHEN paragraph_text IS NOT NULL THEN coalesce(ls, []) END AS ls, len({_SENT}) AS n_left FROM r LEFT JOIN u ON u.id = r.id LEFT JOIN l ON l.id = r.id),
+st AS (SELECT id, 0 AS i, 0 AS j, 0 AS bad FROM w WHERE us IS NOT NULL
+ UNION ALL SELECT st.id, i + 1, j + CASE WHEN coalesce(ls[j + 1] = us[i + 1], false) THEN 1 ELSE 0 END, bad + CASE WHEN coalesce(ls[j + 1] = us[i + 1], false) OR (j > 0 AND ls[j] = us[i + 1]) THEN 0 ELSE 1 END FROM st JOIN w ON w.id = st.id WHERE i < len(us))
+SELECT guide_id, paragraph_id, bad AS mismatched, CAST(len(ls) - j AS INTEGER) AS unconsumed, CAST(n_left AS INTEGER) AS left FROM w LEFT JOIN st ON st.id = w.id AND st.i = len(us)
+""")
 def link_validation(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "citation_extractions").select("guide_id", "paragraph_id", "paragraph_text", "citations", "sentences").distinct()
     urls = normal_urls(F.transform(F.flatten(C.citation_lists(F.col("citations"))), C.url_of))
