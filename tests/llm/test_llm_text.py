@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quillon.llm import cuts
+from quillon.llm import cuts, queries
 from quillon.llm.endings import Endings, core
 from quillon.llm.pairs import SuffixAutomaton, broken_pairs, copies, defect_of, refuses, texts_of, voted
 from quillon.llm.sentences import Learnt, _item, _Levels, learn, sentences, split_sentences, task_sentences
@@ -194,3 +194,18 @@ def test_copies_of_a_cut_answer_do_not_teach_its_ending(spark):
     df = spark.createDataFrame([*rows, *rows[-20:]], "guide_id string, group_id int, question string, answer string, grouping_method string, model_name string")
     found = {(r["group_id"], r["defect"]) for r in broken_pairs(df).collect()}
     assert {(i, "truncated") for i in range(len(answers) - 40, len(answers))} <= found and len(found) < 60
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries_run_over_whole_tables(spark, name):
+    """Each query gives rows of its columns, none of a found row null; exact neighbours are held against SQL."""
+    df = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    rows = [tuple(r) for r in df.collect()]
+    assert rows and len(set(df.columns)) == len(df.columns)
+    if name.endswith("_found"):
+        assert len(rows) == len(set(rows)) and not any(v is None for r in rows for v in r)
+    if name == "p5_found":
+        duckdb = pytest.importorskip("duckdb")
+        con = duckdb.connect()
+        con.execute("CREATE VIEW query_embeddings AS SELECT * FROM read_parquet('/root/testdata/sf0.001/query_embeddings.parquet')")
+        assert set(rows) == set(con.execute(queries.oracle_sql()[name]).fetchall())
