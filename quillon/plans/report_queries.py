@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import citations as C
 from ..operators import stats
-from ..operators.evaluation import sample_groups
+from ..operators.evaluation import mean_and_std, sample_groups, valid_scores
 from ..operators.guides import parse_guides
 from ..operators.judgments import headline_report, html_paragraphs
 from ..operators.models import FakeProvider, qa_pairs, rag_answers, scored
 from ..operators.retrieval import evaluate, f1, top_k
 from ..session import stored, table
 from ..sources import sinks
+from ..sources.fetch import NoFetcher, fetch_judgments
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -125,13 +126,14 @@ def score_value_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT doctype, CASE WHEN counter % 13 = 0 THEN -1 WHEN counter % 17 = 0 THEN -2 ELSE counter % 6 END AS score FROM echr_documents)
 SELECT doctype, count(score) FILTER (score NOT IN (-1, -2)) AS n, round(avg(score) FILTER (score NOT IN (-1, -2)), 6) AS mean, round(stddev_samp(score) FILTER (score NOT IN (-1, -2)), 6) AS sd,
- round(avg(score) FILTER (score <> -1), 6) AS mean_compat, round(stddev_samp(score) FILTER (score <> -1), 6) AS sd_compat FROM s GROUP BY 1
+ CASE WHEN count(score) FILTER (score <> -1) = 0 THEN 'N/A' ELSE printf('%.3f ± %.3f', avg(score) FILTER (score <> -1), stddev_samp(score) FILTER (score <> -1)) END AS report FROM s GROUP BY 1
 """)
 def mean_std_report(spark: SparkSession, d: str) -> DataFrame:
+    """Without both sentinels as numbers, without the first alone as the report's text."""
     c = F.col("counter")
     s = table(spark, d, "echr_documents").select("doctype", F.when(c % 13 == 0, -1).when(c % 17 == 0, -2).otherwise(c % 6).alias("score"))
-    both, one = F.when(~F.col("score").isin(-1, -2), F.col("score")), F.when(F.col("score") != -1, F.col("score"))
-    return s.groupBy("doctype").agg(F.count(both).alias("n"), F.round(F.avg(both), 6).alias("mean"), F.round(F.stddev_samp(both), 6).alias("sd"), F.round(F.avg(one), 6).alias("mean_compat"), F.round(F.stddev_samp(one), 6).alias("sd_compat"))
+    valid = valid_scores(s, "score").groupBy("doctype").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_samp("score"), 6).alias("sd"))
+    return mean_and_std(s, "score", "doctype", sentinels=(-1,)).join(valid, "doctype", "left")
 
 
 @query("SELECT coalesce(source, 'unknown') AS source, min(length(text)) AS least, max(length(text)) AS most, round(avg(length(text)), 6) AS mean, CAST(median(length(text)) AS DOUBLE) AS median FROM documents GROUP BY 1")
@@ -188,10 +190,16 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return q.join(known, "key", "left_anti").groupBy("guide_id").agg(F.countDistinct("key").alias("n_missing"))
 
 
-@query("SELECT url, created_at, md5(data) AS hash FROM meta_cache QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at DESC NULLS LAST, data DESC NULLS LAST) = 1")
+@query("""
+WITH m AS (SELECT url, created_at, md5(data) AS hash, length(data) % 2 AS odd, data FROM meta_cache), l AS (SELECT * FROM m WHERE odd IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url, odd ORDER BY created_at DESC NULLS LAST, data DESC NULLS LAST) = 1),
+n AS (SELECT url, created_at, hash FROM l WHERE odd = 0)
+SELECT * FROM n UNION ALL SELECT l.url, l.created_at, l.hash FROM l ANTI JOIN n ON n.url = l.url WHERE odd = 1
+""")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the cache's rows put into the other half."""
     m = table(spark, d, "meta_cache")
-    return sinks.upsert(m.limit(0), m, ["url"], "created_at", "data").select("url", "created_at", F.md5("data").alias("hash"))
+    old = sinks.latest(m.where("length(data) % 2 = 1"), ["url"], "created_at", "data")
+    return sinks.upsert(old, m.where("length(data) % 2 = 0"), ["url"], "created_at", "data").select("url", "created_at", F.md5("data").alias("hash"))
 
 
 @query("""
@@ -229,15 +237,16 @@ def text_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT case_id, paragraph_number, max(paragraph_text) AS cached FROM judgements WHERE case_id IS NOT NULL GROUP BY 1, 2),
-s AS (SELECT _id, max(html) AS html FROM echr_documents WHERE coalesce(lower(isplaceholder), 'false') <> 'true' GROUP BY 1)
-SELECT s._id AS case_id, count(c.paragraph_number) AS n_cached, CASE WHEN count(c.case_id) > 0 THEN 'cache' WHEN max(s.html) IS NOT NULL AND max(s.html) <> '' THEN 'store' ELSE 'web' END AS tier FROM s LEFT JOIN c ON c.case_id = s._id GROUP BY 1
+WITH w AS (SELECT DISTINCT _id AS case_id FROM echr_documents WHERE _id IS NOT NULL), c AS (SELECT case_id, min(paragraph_text) FILTER (paragraph_number = 1) AS first FROM judgements WHERE case_id IS NOT NULL GROUP BY 1),
+s AS (SELECT DISTINCT _id FROM echr_documents WHERE coalesce(lower(isplaceholder), 'false') <> 'true' AND html <> '' AND NOT starts_with(ltrim(html), '{'))
+SELECT w.case_id, CASE WHEN c.case_id IS NOT NULL THEN 'cache' WHEN s._id IS NOT NULL THEN 'store' END AS tier, CASE WHEN c.case_id IS NOT NULL THEN md5(coalesce(first, 'Paragraph missing')) END AS hash FROM w LEFT JOIN c ON c.case_id = w.case_id LEFT JOIN s ON s._id = w.case_id
 """)
 def tiered_fetch(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "judgements").where("case_id IS NOT NULL").groupBy("case_id").agg(F.countDistinct("paragraph_number").alias("n_cached"))
-    s = table(spark, d, "echr_documents").where("coalesce(lower(isplaceholder), 'false') <> 'true'").groupBy(F.col("_id").alias("case_id")).agg(F.max("html").alias("html"))
-    tier = F.when(F.col("n_cached").isNotNull(), "cache").when(F.coalesce("html", F.lit("")) != "", "store").otherwise("web")
-    return s.join(c, "case_id", "left").select("case_id", F.coalesce("n_cached", F.lit(0)).alias("n_cached"), tier.alias("tier"))
+    """The first paragraph of every case in the catalogue, from the tier that has the case; the texts of the cache by hash."""
+    e = table(spark, d, "echr_documents").where("_id IS NOT NULL")
+    wanted = e.select(F.col("_id").alias("case_id"), F.lit(1).alias("paragraph_number")).distinct()
+    rows, _ = fetch_judgments(wanted, table(spark, d, "judgements"), e, NoFetcher())
+    return rows.select("case_id", "tier", F.when(F.col("tier") == "cache", F.md5("paragraph_text")).alias("hash"))
 
 
 # ---- joins and sets

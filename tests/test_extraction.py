@@ -47,11 +47,11 @@ def test_embeddings(spark):
 def test_tiers(spark):
     class Web(NoFetcher):
         def get(self, case_id):
-            return "<p>1. From the web.</p>" if case_id == "w" else None
+            return "<p>Court</p><p>1. From the web.</p>" if case_id == "w" else None
 
     wanted = spark.createDataFrame([("c", 1), ("c", 2), ("s", 1), ("w", 1), ("x", 1), ("p", 1)], "case_id string, paragraph_number int")
     cache = spark.createDataFrame([("c", 1, "cached")], "case_id string, paragraph_number int, paragraph_text string")
-    store = spark.createDataFrame([("s", "<p>1. Stored.</p>", None), ("p", "<p>1. No.</p>", "True"), ("w", '{"error": 1}', "False")], "_id string, html string, isplaceholder string")
+    store = spark.createDataFrame([("s", "<p>Court</p><p>1. Stored.</p>", None), ("p", "<p>Court</p><p>1. No.</p>", "True"), ("w", '{"error": 1}', "False")], "_id string, html string, isplaceholder string")
     out, fresh = fetch_judgments(wanted, cache, store, Web())
     got = {(r["case_id"], r["paragraph_number"]): (r["paragraph_text"], r["tier"]) for r in out.collect()}
     assert got == {("c", 1): ("cached", "cache"), ("c", 2): (MISSING, "cache"), ("s", 1): ("1. Stored.", "store"), ("w", 1): ("1. From the web.", "web"), ("x", 1): (None, None), ("p", 1): (None, None)}
