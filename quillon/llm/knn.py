@@ -246,9 +246,9 @@ def neighbours(vectors: DataFrame, k: int = 5, id_col: str = "query", vector_col
         vid, cell = codes["vid"].to_numpy(np.int64), codes["cell"].to_numpy(np.int64)
         code = np.frombuffer(b"".join(codes["code"]), dtype=np.uint8).reshape(-1, CODE)
         whole, asked = _floats(queries["v"], dim), queries["vid"].to_numpy(np.int64)
-        place = np.stack([cell, p.block(vid, cell)], axis=1)
-        out: list[tuple] = []
-        own_place = (int(queries["home"].iloc[0]), int(queries["block"].iloc[0]))
+        place = cell << 32 | p.block(vid, cell)
+        own_place = int(queries["home"].iloc[0]) << 32 | int(queries["block"].iloc[0])
+        out: list[pd.DataFrame] = []
         for first in range(0, len(whole), 256):  # with 512 candidates at once, what the sums touch stays in the cache
             q, own = whole[first : first + 256], asked[first : first + 256]
             tables, scale = ix.rounded(ix.tables(q))
@@ -264,12 +264,16 @@ def neighbours(vectors: DataFrame, k: int = 5, id_col: str = "query", vector_col
                 best_i = np.concatenate([best_i, at + top], axis=1)
                 keep = _top(best_s, reranked)
                 best_s, best_i = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_i, keep, 1)
-            for i, row in enumerate(best_i):
-                row = row[vid[row] != own[i]]
-                where, which = np.unique(place[row], axis=0, return_inverse=True)
-                for j, (c, b) in enumerate(where.tolist()):
-                    out.append((c, b, int(own[i]), None if (c, b) == own_place else q[i].tobytes(), vid[row[which.ravel() == j]].tolist()))
-        return pd.DataFrame(out, columns=["cell", "block", "vid", "v", "found"])
+            asker, found = np.repeat(np.arange(len(q)), best_i.shape[1]), best_i.ravel()
+            other = vid[found] != own[asker]
+            asker, found = asker[other], found[other]
+            order = np.lexsort((place[found], asker))
+            asker, found = asker[order], found[order]
+            where = place[found]
+            begin = np.flatnonzero(np.r_[True, (asker[1:] != asker[:-1]) | (where[1:] != where[:-1])]) if len(found) else np.zeros(0, dtype=np.int64)
+            at, to = where[begin], asker[begin]
+            out.append(pd.DataFrame({"cell": at >> 32, "block": at & 0xFFFFFFFF, "vid": own[to], "v": [None if a == own_place else q[i].tobytes() for a, i in zip(at.tolist(), to.tolist())], "found": np.split(vid[found], begin[1:]) if len(begin) else []}))
+        return pd.concat(out, ignore_index=True)
 
     group = ["home", "block", "chunk"]
     queries = base.select("vid", "v").mapInArrow(ask, "home int, block int, chunk int, vid long, v binary")
@@ -279,22 +283,31 @@ def neighbours(vectors: DataFrame, k: int = 5, id_col: str = "query", vector_col
     def rank(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         """The k best, by whole vectors, of what each visiting query wants from a cell."""
         if not len(asked) or not len(there):
-            return pd.DataFrame({"vid": [], "best": []})
+            return pd.DataFrame({"vid": [], "y": [], "s": []})
         there = there.sort_values("vid")
-        ids, whole = there["vid"].to_numpy(np.int64), _floats(there["v"], dim).astype(np.float64)
-        best = []
-        for vid, v, found in zip(asked["vid"], asked["v"], asked["found"]):
-            at = np.searchsorted(ids, np.sort(found))
-            query = whole[np.searchsorted(ids, vid)] if v is None else np.frombuffer(v, dtype=np.float32).astype(np.float64)
-            scores = whole[at] @ query
-            order = np.argsort(-scores, kind="stable")[:k]
-            best.append([{"s": -s, "y": y} for s, y in zip(scores[order].tolist(), ids[at[order]].tolist())])
-        return pd.DataFrame({"vid": asked["vid"].to_numpy(), "best": best})
+        ids, whole = there["vid"].to_numpy(np.int64), _floats(there["v"], dim)
+        out = []
+        for first in range(0, len(asked), 4096):
+            part = asked.iloc[first : first + 4096]
+            vid = part["vid"].to_numpy(np.int64)
+            own = part["v"].isna().to_numpy()
+            query = np.empty((len(part), dim), dtype=np.float32)
+            query[own] = whole[np.searchsorted(ids, vid[own])]
+            if not own.all():
+                query[~own] = _floats(part["v"][~own], dim)
+            asker = np.repeat(np.arange(len(part)), part["found"].str.len().to_numpy(np.int64))
+            at = np.searchsorted(ids, np.concatenate(part["found"].to_numpy()))
+            scores = np.einsum("ij,ij->i", whole[at].astype(np.float64), query[asker].astype(np.float64))
+            order = np.lexsort((ids[at], -scores, asker))
+            asker, at, scores = asker[order], at[order], scores[order]
+            best = np.arange(len(asker)) - np.searchsorted(asker, asker) < k
+            out.append(pd.DataFrame({"vid": vid[asker[best]], "y": ids[at[best]], "s": -scores[best]}))
+        return pd.concat(out, ignore_index=True)
 
     there = queries.where("chunk = 0").select(F.col("home").alias("cell"), "block", "vid", "v").groupBy("cell", "block")
-    ranked = visits.groupBy("cell", "block").cogroup(there).applyInPandas(rank, "vid long, best array<struct<s:double,y:long>>")
+    ranked = visits.groupBy("cell", "block").cogroup(there).applyInPandas(rank, "vid long, y long, s double")
     # what a query found in several cells or chunks comes together here: k times their number at most
-    edges = ranked.groupBy(F.col("vid").alias("x")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")).select("x", F.explode("best.y").alias("y"))
+    edges = ranked.groupBy(F.col("vid").alias("x")).agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "y"))), 1, k).alias("best")).select("x", F.explode("best.y").alias("y"))
     edges = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     names = base.select("vid", "id")
     named = edges.join(names.withColumnRenamed("vid", "x").withColumnRenamed("id", "p"), "x").join(names.withColumnRenamed("vid", "y").withColumnRenamed("id", "q"), "y")
