@@ -63,10 +63,10 @@ def valid_scores(df: DataFrame, score: str, sentinels: tuple[int, ...] = SENTINE
 
 
 def mean_and_std(df: DataFrame, score: str, *group: str, sentinels: tuple[int, ...] = SENTINELS) -> DataFrame:
-    """`mean ± std` with three decimals by group, N/A where a group has no valid score."""
+    """`mean ± std` with three decimals (halves to even) by group, N/A where a group has no valid score."""
     groups = df.select(*group).distinct()
     s = valid_scores(df, score, sentinels).groupBy(*group).agg(F.avg(score).alias("m"), F.coalesce(F.stddev_samp(score), F.lit(float("nan"))).alias("s"))
-    text = F.when(F.col("m").isNull(), "N/A").otherwise(F.format_string("%.3f ± %.3f", F.col("m"), F.col("s")))
+    text = F.when(F.col("m").isNull(), "N/A").otherwise(F.format_string("%.3f ± %.3f", F.bround("m", 3), F.bround("s", 3)))
     return groups.join(s, list(group), "left").select(*group, text.alias("report"))
 
 

@@ -126,7 +126,7 @@ def score_value_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT doctype, CASE WHEN counter % 13 = 0 THEN -1 WHEN counter % 17 = 0 THEN -2 ELSE counter % 6 END AS score FROM echr_documents)
 SELECT doctype, count(score) FILTER (score NOT IN (-1, -2)) AS n, round(avg(score) FILTER (score NOT IN (-1, -2)), 6) AS mean, round(stddev_samp(score) FILTER (score NOT IN (-1, -2)), 6) AS sd,
- CASE WHEN count(score) FILTER (score <> -1) = 0 THEN 'N/A' ELSE printf('%.3f ± %.3f', avg(score) FILTER (score <> -1), stddev_samp(score) FILTER (score <> -1)) END AS report FROM s GROUP BY 1
+ CASE WHEN count(score) FILTER (score <> -1) = 0 THEN 'N/A' ELSE printf('%.3f ± ', avg(score) FILTER (score <> -1)) || coalesce(printf('%.3f', stddev_samp(score) FILTER (score <> -1)), 'NaN') END AS report FROM s GROUP BY 1
 """)
 def mean_std_report(spark: SparkSession, d: str) -> DataFrame:
     """Without both sentinels as numbers, without the first alone as the report's text."""
