@@ -239,7 +239,7 @@ def docname_of(html: str | None) -> str | None:
     return None
 
 
-def html_paragraphs(pages: DataFrame, id_col: str = "_id", html_col: str = "html") -> DataFrame:
+def html_paragraphs(pages: DataFrame, id_col: str = "_id", html_col: str = "html", scanned: bool = True) -> DataFrame:
     """(id, paragraph_number, paragraph_text) of each page; null, empty and number-less pages give no rows."""
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -248,11 +248,11 @@ def html_paragraphs(pages: DataFrame, id_col: str = "_id", html_col: str = "html
             rows = [(i, n, t) for i, h in enumerate(batch.column("html").to_pylist()) if h for n, t in paragraphs_of(h)[0]]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["id", "paragraph_number", "paragraph_text"])
 
-    rows = spread(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")))
+    rows = spread(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")), scanned)
     return rows.mapInArrow(run, f"id {kind}, paragraph_number int, paragraph_text string").withColumnRenamed("id", id_col)
 
 
-def headline_report(pages: DataFrame, id_col: str = "_id", html_col: str = "html") -> DataFrame:
+def headline_report(pages: DataFrame, id_col: str = "_id", html_col: str = "html", scanned: bool = True) -> DataFrame:
     """(id, headings, caps, bold, size, paragraphs, doubtful) for each page that isn't null or empty."""
     kind = pages.schema[id_col].dataType.simpleString()
     names = ["headings", "caps", "bold", "size", "paragraphs"]
@@ -262,5 +262,5 @@ def headline_report(pages: DataFrame, id_col: str = "_id", html_col: str = "html
             done = [(i, *paragraphs_of(h)[1:]) for i, h in enumerate(batch.column("html").to_pylist()) if h]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([d[0] for d in done], pa.int32())), *(pa.array([d[1][n] for d in done], pa.int32()) for n in names), pa.array([d[2] for d in done], pa.bool_())], names=["id", *names, "doubtful"])
 
-    rows = spread(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")))
+    rows = spread(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")), scanned)
     return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} int" for n in names) + ", doubtful boolean").withColumnRenamed("id", id_col)

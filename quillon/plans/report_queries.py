@@ -514,12 +514,12 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_REPORT + ", t AS (SELECT l_orderkey, n, l_partkey, CASE k " + " ".join(f"WHEN {i} THEN CASE WHEN doubtful OR {str(not kind).upper()} THEN ' {text}' ELSE '' END" for i, (_, text, kind) in enumerate(_HEADS)) + " END AS rest FROM l JOIN d USING (l_orderkey)) SELECT l_orderkey, CAST(n AS INTEGER) AS paragraph_number, n || '. Part ' || l_partkey || ' was sold .' || rest AS paragraph_text FROM t")
 def judgment_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return html_paragraphs(_pages(spark, d), "l_orderkey", "html")
+    return html_paragraphs(_pages(spark, d), "l_orderkey", "html", scanned=False)
 
 
 @query(_REPORT + " SELECT l_orderkey, " + ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ("headings", "caps", "bold", "size", "paragraphs")) + ", doubtful FROM d")
 def judgment_headlines(spark: SparkSession, d: str) -> DataFrame:
-    return headline_report(_pages(spark, d), "l_orderkey", "html")
+    return headline_report(_pages(spark, d), "l_orderkey", "html", scanned=False)
 
 
 @query(f"""WITH {_LINES} SELECT 'g' || l_orderkey || CASE l_orderkey % 2 WHEN 0 THEN '_eng' ELSE '_fre' END AS guide_id, CAST(n AS INTEGER) AS paragraph_id,
