@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spread, stored
 
 # Brackets and quotation marks. A mark may open one kind and close another.
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“”", "”": "", '"': '"'}
@@ -56,20 +58,37 @@ def _trie(words: list[str]) -> dict:
 
 
 NEVER_TRIE, MAY_TRIE = _trie([w for words in NEVER.values() for w in words.split() if w not in MAY]), _trie(MAY)
-#: What is learnt: times that a word stands before a dot, or a line stands alone, at least; share of the former within sentences; entries at most, the most frequent.
+#: What is learnt: times that a word stands before a dot, or a line stands alone, at least; share of the former within sentences; entries that are sent to all tasks, the most frequent: all others are joined to the texts that may ask for them.
 SEEN, WITHIN, LEARNT = 20, 0.6, 20_000
 LINES = 3
+#: Letters of a learnt word and line, at most (see learn()); small letters may be twice as many.
+WORD_LETTERS, LINE_LETTERS = 5, 120
 
 
 class Learnt(NamedTuple):
-    """Short words whose dot doesn't end a sentence and lines that return as lines of their own, in small letters."""
+    """Short words whose dot doesn't end a sentence and lines that return as lines of their own, in small letters.
 
-    words: frozenset = frozenset()
-    lines: frozenset = frozenset()
+    rest has those that are rarer than the ones held here: (kind `words` or `lines`, item); None if there are none.
+    """
+
+    words: Container[str] = frozenset()
+    lines: Container[str] = frozenset()
+    rest: DataFrame | None = None
+
+
+class _Either(NamedTuple):
+    """Whether one of two sets has an item, without their union."""
+
+    one: Container[str]
+    other: Container[str]
+
+    def __contains__(self, item: object) -> bool:
+        return item in self.one or item in self.other
 
 
 MARKS = regex.compile("[" + regex.escape(HARD + SOFT + "".join(PAIRS) + "".join(CLOSERS)) + r"]|\s*\n\s*|(?<=\p{Thai})\s+(?=\p{Thai})", regex.VERSION0)
 SPACE = regex.compile(r"\s*")
+LINE_ENDS = regex.compile(r"\s*\n\s*")
 DATE_PART, MINUTES, NUMBER = regex.compile(r"\d{1,2}\. ?\d{4}"), regex.compile(r"([0-5]\d)\b\W*(\w*)"), regex.compile(r"\d+(/?)")
 DOTTED = regex.compile(r"(?:^|[\s(\[])(?:\p{Lu}\.)+\p{Lu}$")
 NO_VOWEL = regex.compile(r"[bcdfghjklmnpqrstvwxzßçñ]{2,}")
@@ -269,6 +288,31 @@ class _Levels:
         return follows
 
 
+def _bare(line: str, item: bool) -> str:
+    """A line without its enumerator, if it is an item."""
+    return line[ENUMERATOR.match(line).end() :].strip() if item else line
+
+
+def _line_key(bare: str) -> str:
+    """How a line is looked up among the learnt ones."""
+    return bare.lower().strip("*_ ").replace("’", "'")
+
+
+def lookups(text: str) -> tuple[set[str], set[str]]:
+    """All words and lines that sentences() may look up among the learnt ones, and perhaps more, but none that can't be learnt."""
+    words: set[str] = set()
+    at = text.find(".")
+    while at >= 0:
+        word = _word_before(text, at, max(0, at - 40))
+        if word[2] == at:
+            # a sentence may begin within a run of letters and digits, after the number of a note
+            rest = word[0][1 + max((i for i, c in enumerate(word[0]) if c.isdigit()), default=-1) :]
+            words.update(w for w in (word[0].lower(), rest.lower()) if 0 < len(w) <= 2 * WORD_LETTERS)
+        at = text.find(".", at + 1)
+    lines = {_line_key(_bare(line, bool(_item(line)))) for line in LINE_ENDS.split(text[SPACE.match(text).end() :])}
+    return words, {k for k in lines if 0 < len(k) <= 2 * LINE_LETTERS}
+
+
 def _heading(text: str, start: int, end: int, follow: int, levels: _Levels, learnt: Learnt) -> bool:
     """Whether text[start:end], all of one line and followed by another, is a heading.
 
@@ -280,8 +324,8 @@ def _heading(text: str, start: int, end: int, follow: int, levels: _Levels, lear
         return False
     item = _item(line)
     follows = bool(item) and levels.enter(*item)
-    bare = line[ENUMERATOR.match(line).end() :].strip() if item else line
-    known = bare.lower().strip("*_ ").replace("’", "'") in learnt.lines
+    bare = _bare(line, bool(item))
+    known = _line_key(bare) in learnt.lines
     words = bare.split()
     read = bool(item) and len(words) >= 2 and "," not in bare and not OPEN_ENDED.search(bare)
     if CJK.match(line) and CJK.match(line[-1]):
@@ -384,7 +428,7 @@ def sentences(text: str | None, learnt: Learnt = Learnt()) -> list[tuple[int, in
 
 
 def learn(texts: DataFrame, text_col: str) -> Learnt:
-    """Short words and lines that are learnt from all texts: at most LEARNT of each, the most frequent, come to the driver.
+    """Short words and lines that are learnt from all texts: the LEARNT most frequent of each come to the driver, all others stay in a table (rest).
 
     A word of two to five letters is learnt if it stands before a dot SEEN times and WITHIN of these are followed by a
     small letter, a digit or a comma; a line, without its enumerator, if LINES different texts have it as a line of its
@@ -398,26 +442,61 @@ def learn(texts: DataFrame, text_col: str) -> Learnt:
     bare = F.regexp_replace(F.lower(F.trim(F.regexp_replace("x", ENUMERATED, ""))), r"^[*_ ]+|[*_ ]+$", "")
     lines = lines.select("h", F.replace(bare, F.lit("’"), F.lit("'")).alias("l")).where(~F.col("l").rlike(r"[.!?;:,。！？、，।؟]\s?[”“\"»'」』)]*$") & (F.col("l") != ""))
     often = lines.distinct().groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") >= LINES)
-    w, l = (frozenset(r[0] for r in df.orderBy(F.desc("n"), df.columns[0]).limit(LEARNT).collect()) for df in (words, often))
-    return Learnt(w - frozenset(MAY), l)
+    words = words.where(~F.col("w").isin(MAY))
+    found = stored(words.select(F.lit("words").alias("kind"), F.col("w").alias("item"), "n").unionByName(often.select(F.lit("lines").alias("kind"), F.col("l").alias("item"), "n")))
+    held, rarer = {}, []
+    for kind in ("words", "lines"):
+        first = found.where(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(LEARNT + 1).collect()
+        held[kind] = frozenset(r["item"] for r in first[:LEARNT])
+        if len(first) > LEARNT:
+            n, item = first[LEARNT]["n"], first[LEARNT]["item"]
+            rarer.append((F.col("kind") == kind) & ((F.col("n") < n) | (F.col("n") == n) & (F.col("item") >= item)))
+    return Learnt(**held, rest=found.where(reduce(or_, rarer)).select("kind", "item") if rarer else None)
+
+
+def _with_rest(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """rows, stored, with the words and lines of rest that each text may look up.
+
+    Texts are told by a hash: where two share one, each also gets what the other asks for and is learnt, which changes nothing.
+    """
+    rows = stored(rows.withColumn("h", F.xxhash64("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, kinds, items = [], [], []
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+                for kind, found in zip(("words", "lines"), lookups(text or "")):
+                    hashes += [h] * len(found)
+                    kinds += [kind] * len(found)
+                    items += found
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(kinds, pa.string()), pa.array(items, pa.string())], names=["h", "kind", "item"])
+
+    asked = spread(rows.select("h", "text")).mapInArrow(run, "h long, kind string, item string").join(rest, ["kind", "item"], "left_semi")
+    return rows.join(asked.groupBy("h").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("item"))).alias(k) for k in ("words", "lines"))), "h", "left").drop("h")
 
 
 def split_sentences(texts: DataFrame, keys: list[str], text_col: str, learnt: Learnt | None = None) -> DataFrame:
     """One row (keys, start_pos int, end_pos int) for each unit of each row's text; see sentences().
 
     Null and blank texts give no rows; repeated rows give repeated units. Whole texts; learnt from themselves, unless
-    what was learnt is given. Other columns don't take part.
+    what was learnt is given. Other columns don't take part. Where more is learnt than is sent to all tasks, the rows are
+    stored and joined by a hash to what else is learnt of what they may look up.
     """
     learnt = learn(texts, text_col) if learnt is None else learnt
     rows = spread(texts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text_col).alias("text")), scanned=False)
     ks = [f"k{i}" for i in range(len(keys))]
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in ks) + ", start_pos int, end_pos int"
+    held = learnt._replace(rest=None)
+    if learnt.rest is not None:
+        rows = _with_rest(rows, learnt.rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, starts, ends = [], [], []
+            more = [batch.column(k).to_pylist() for k in ("words", "lines") if k in batch.schema.names]
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for s, e in sentences(text, learnt):
+                known = Learnt(*(_Either(x, m[i]) if m[i] else x for x, m in zip(held, more))) if more else held
+                for s, e in sentences(text, known):
                     index.append(i)
                     starts.append(s)
                     ends.append(e)

@@ -70,6 +70,18 @@ def test_words_and_lines_are_learnt(spark):
     assert learn(spark.createDataFrame([], "t string"), "t") == Learnt()
 
 
+def test_what_is_learnt_beyond_the_most_frequent_is_used(spark, monkeypatch):
+    """More words and lines than are sent to all tasks: rarer ones count as well."""
+    texts = [f"{h}\nIt was {w}o. {i} and so on.¹{w}u. 5 it was.\n\n1. {h} of {w}\nThe end {i} is near." for i in range(25) for h, w in (("Zwfl qu", "xyz"), ("Heading word", "abc"), ("Ünder*", "klm"))]
+    df = spark.createDataFrame([*enumerate(texts), (998, None), (999, texts[0])], "id long, t string")
+    whole = learn(df, "t")
+    want = sorted((i, s, e) for i, t in [*enumerate(texts), (999, texts[0])] for s, e in sentences(t, whole))
+    assert len(whole.words) == 8 and len(whole.lines) == 6 and want != sorted((i, s, e) for i, t in [*enumerate(texts), (999, texts[0])] for s, e in sentences(t))
+    monkeypatch.setattr("quillon.llm.sentences.LEARNT", 1)
+    assert sorted(tuple(r) for r in split_sentences(df, ["id"], "t").collect()) == want
+    assert len(learn(df, "t").words) == 1 and learn(df, "t").rest.count() == len(whole.words) + len(whole.lines) - 2
+
+
 def test_units_and_space_are_the_whole_text():
     rnd = random.Random(2)
     for _ in range(1500):
