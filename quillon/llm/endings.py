@@ -14,7 +14,7 @@ from collections.abc import Iterable
 import regex
 
 TOKEN = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*['’]?|\d+|\n\s*|[^\s\p{L}\p{M}\d]")
-WORD = regex.compile(r"(?<![\p{L}\p{M}\x27’\-])\p{Ll}[\p{L}\p{M}]*(?:[\x27’\-][\p{L}\p{M}]+)*[\x27’]?")
+LINE, THAI = regex.compile(r"(\n\s*)"), regex.compile(r"\p{Thai}")
 SINGLE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 # Marks that end a sentence.
 FINAL = set(".!?…。！？｡।॥؟۔")
@@ -23,12 +23,34 @@ CLOSING = set(")]}»”“\"'’」』）】›*_")
 KNOWN, SEEN, LONGEST = 8, 4, 5
 #: Characters looked at first, from the end; more where they don't do.
 WINDOW = 240
+#: Characters of a chunk whose tokens are remembered, at most; such chunks.
+CHUNK, CHUNKS = 24, 200_000
+_chunks: dict[str, list[str]] = {}
 #: Share of all tokens from which a word in capitals stands for itself; rarer ones are names.
 NAMED = 0.0003
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text)
+    """The tokens of a text. What stands between white space is split by TOKEN once and then remembered; Thai, where white space counts, isn't."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space for split() only
+        return TOKEN.findall(text)
+    out: list[str] = []
+    for line in LINE.split(text) if "\n" in text else (text,):
+        if line[:1] == "\n":
+            out.append(line)
+            continue
+        for chunk in line.split():
+            found = _chunks.get(chunk)
+            if found is None:
+                if THAI.search(chunk):
+                    return TOKEN.findall(text)
+                found = TOKEN.findall(chunk)
+                if len(chunk) <= CHUNK:
+                    if len(_chunks) >= CHUNKS:
+                        _chunks.clear()
+                    _chunks[chunk] = found
+            out += found
+    return out
 
 
 def last_tokens(text: str) -> list[str]:
@@ -40,6 +62,11 @@ def last_tokens(text: str) -> list[str]:
     return ts[-LONGEST:]
 
 
+def named(total: int) -> int:
+    """Times that a word in capitals must stand among so many tokens to stand for itself."""
+    return max(KNOWN, int(NAMED * total))
+
+
 class Endings:
     def __init__(self) -> None:
         self.words: Counter = Counter()
@@ -51,20 +78,23 @@ class Endings:
         self.again: Counter = Counter()
         self.sorted: list[str] = []
 
-    def shape(self, token: str) -> str:
+    def shape(self, token: str, known: bool | None = None) -> str:
+        """What a token stands for in contexts; known tells whether it is frequent enough to stand for itself, if that isn't to be looked up."""
         if token[0].isspace():
             return "\n"
         if token[0].isdigit():
             return "0"
         if len(token) == 1 and not SINGLE.match(token):
             return token if not token.isupper() else "A"
-        if self.words.get(token, 0) >= (self.common if token[0].isupper() else KNOWN):
+        if known is None:
+            known = self.words.get(token, 0) >= (self.common if token[0].isupper() else KNOWN)
+        if known:
             return token
         return "Xx" if token[0].isupper() else "xx"
 
     @classmethod
     def fit(cls, texts: Iterable[str], doubtful: Iterable[str] = ()) -> Endings:
-        """Texts: a sample, some of which may break off.
+        """Texts of which some may break off, counted on the driver: corpus.py counts whole tables, with the same result.
 
         Texts that end in the same tokens count once as an end, and their last word once as a word of its own: however
         often a text that breaks off is copied, it doesn't teach its own ending. Doubtful texts' ends teach nothing.
@@ -83,7 +113,7 @@ class Endings:
                 self.again[ts[-1]] += not new
             split.append(ts)
             ended.append(new and sure)
-        self.common = max(KNOWN, int(NAMED * sum(self.words.values())))
+        self.common = named(sum(self.words.values()))
         self.sorted = sorted(w for w, n in self.words.items() if n >= KNOWN)
         for ts, counts in zip(split, ended):
             shapes = [self.shape(t) for t in ts]
@@ -113,22 +143,14 @@ class Endings:
         self.pause = Counter({c: n for c, n in self.pause.items() if c in self.all})
         return self
 
-    def doubted(self, text: str) -> str | None:
-        """The last word of a text (its core) that counts as broken off only because that word, in small letters, is rare in the sample."""
-        if self.complete_core(text) > 0 or self.complete_core(text, trusting=True) == 0:
-            return None
-        return last_tokens(text.rstrip("".join(CLOSING)))[-1]
+    def chance(self, ts: list[str], least: int = SEEN) -> float:
+        """The share of endings in such tokens that are ends, by the longest context that was seen often enough.
 
-    def chance(self, text: str, least: int = SEEN, trusting: bool = False) -> float:
-        """The share of such endings that are ends, by the longest context that was seen often enough.
-
-        Where a sentence may end but a clause follows as often, pauses count too. A last word that is rare ends nothing,
-        unless it is trusted to be a word.
+        Where a sentence may end but a clause follows as often, pauses count too. A last word that is rare ends nothing.
         """
-        ts = last_tokens(text)
         if not ts:
             return 1.0
-        if self.rare(ts[-1]) and not (trusting and ts[-1][0].islower() and self.words.get(ts[-1], 0) < 3):
+        if self.rare(ts[-1]):
             return 0.0
         shapes = [self.shape(t) for t in ts]
         context, found = "", 0.5
@@ -142,15 +164,6 @@ class Endings:
                 found = max(found, 0.9 * (self.end.get(context, 0) + self.pause.get(context, 0)) / n)
         return found
 
-    def _goes_on(self, before: str, token: str) -> bool:
-        """Whether a longer word that begins with the token was seen after the shape before it."""
-        i = bisect_right(self.sorted, token)
-        while i < len(self.sorted) and self.sorted[i].startswith(token):
-            if f"{before} {self.sorted[i]} " in self.all:
-                return True
-            i += 1
-        return False
-
     def rare(self, token: str) -> bool:
         """Whether the token is, as a rule, the beginning of a word: a rare one in small letters, or one that hardly stands elsewhere than last and begins a more frequent one."""
         if SINGLE.match(token) or not token[0].isalpha():
@@ -182,17 +195,25 @@ class Endings:
                 stack.append(c)
         return bool(stack)
 
-    def complete(self, text: str, trusting: bool = False) -> float:
+    def complete(self, text: str) -> float:
         """How surely the text, what was put after it left away, ends with a sentence, a list or the like: 0 to 1."""
-        return self.complete_core(core(text), trusting)
+        found = self.question(core(text))
+        return self.answer(*found) if isinstance(found, tuple) else found
+
+    def answer(self, ts: list[str], scale: float, tail: str | None) -> float:
+        """What question() left open: a line that is whole if its last word, the tail, is; else the chance of the last tokens, scaled."""
+        if tail is not None and not self.rare(tail):
+            return 0.9
+        return min(1.0, scale * self.chance(ts))
 
-    def complete_core(self, text: str, trusting: bool = False) -> float:
-        """complete() of what core() left of a text."""
+    @staticmethod
+    def question(text: str) -> float | tuple[list[str], float, str | None]:
+        """complete() of what core() left of a text where that needs nothing learnt, else what answer() must be asked."""
         if footer := FOOTER.search(text, max(0, len(text) - WINDOW)):
             text = core(text[: footer.start()]) or text
         if not text:
             return 1.0
-        if self.unclosed(text):
+        if Endings.unclosed(text):
             return 0.0
         bare = text.rstrip("".join(CLOSING))
         if not bare:
@@ -202,7 +223,7 @@ class Endings:
                 return 1.0
             stem = bare[:-1]
             if stem[-1:].isdigit():
-                return min(1.0, 4 * self.chance(stem, trusting=trusting))
+                return last_tokens(stem), 4.0, None
             end = stem[-WINDOW:]
             word = LAST_WORD.search(end)[0].lower()
             if not stem[: len(stem) - len(word)].strip() and word.isalpha():
@@ -216,11 +237,11 @@ class Endings:
             return 0.0
         line = bare[bare.rfind("\n") + 1 :]
         tail_ = last_tokens(line)[-1:]
-        if "\n" in bare and tail_ and not self.rare(tail_[0]) and (LABELLED.fullmatch(line) or SIGNED.search(bare)):
-            return 0.9
         if "\n\n" in bare and DATED.fullmatch(line):
             return 0.9
-        return self.chance(text, trusting=trusting)
+        labelled = "\n" in bare and tail_ and (LABELLED.fullmatch(line) or SIGNED.search(bare))
+        ts = last_tokens(text)
+        return (ts, 1.0, tail_[0] if labelled else None) if ts else 1.0
 
 
 # A line of keywords or references; a signature; a closing line of place and date.
@@ -237,6 +258,8 @@ LAST_WORD, LAST_LETTER, ANSWERED_NO = regex.compile(r"(?r)[\p{L}.\-']*$"), regex
 BRACKETS = regex.compile("<(?=[A-Za-z/!])|[" + regex.escape("".join(sorted({*OPENS, *CLOSES} - {"<"}))) + "]", regex.VERSION0)
 # What is put after a cut, and notes after a sentence.
 PUT_AFTER = regex.compile(r"(?:\s|</?\w*[^<>]*>|</?\w{0,10}$|&hellip;|…|\.{3,}|\[(?:\.{2,}|…)\]|\((?:\.{3}|…|(?i:more|continued|truncated|suite|cut|tronqué|continuare)[^()]{0,12})\)|\[(?i:more|continued|truncated|suite|cut|tronqué)[^\[\]]{0,20}\]|(?i:read more|lire la suite|citește mai mult)\W*|[\u200b-\u200f\ufeff\u0000-\u001f\ufffd])+$")
+# The last letters of the words in it, before a full stop.
+MORE = {"more", "uite", "mult"}
 # Lines that close an extract.
 FOOTER = regex.compile(r"\n\s*\n\s*(?:[（(\[【][^\n（）()\[\]]{1,60}[）)\]】]|[—–-]{1,3}[^\n]{1,60}[—–-]{1,3}|(?:\*\s*){1,5}|以上)\s*$")
 NOTES = regex.compile(r"(?<=[.!?。！？»”])(?:\[\d+\]|[¹²³⁴-⁹])+$")
@@ -244,6 +267,9 @@ NOTES = regex.compile(r"(?<=[.!?。！？»”])(?:\[\d+\]|[¹²³⁴-⁹])+$")
 
 def core(text: str) -> str:
     """The text without what is put after a cut or a sentence."""
+    end = text[-5:-1]
+    if text[-1:] == "." and end.isascii() and end[-1:].isalnum() and end.lower() not in MORE:
+        return text  # as most do: neither pattern can match
     before = None
     while before != text:
         before, text = text, _without(NOTES, _without(PUT_AFTER, text))

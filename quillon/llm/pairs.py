@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, stored
-from .cuts import SAMPLE, distinct_sample
+from .corpus import QUESTION, Corpus, completed, questions, token_table
+from .cuts import distinct_texts
 from .endings import CLOSING, FINAL, Endings, core
 from .refusals import kind_of
 
@@ -176,76 +177,82 @@ def voted(text: str) -> str | None:
     return ranked[0][0]
 
 
-def defect_of(question: str | None, answer: str | None, endings: Endings | None) -> str | None:
-    """The defect of a pair, the first that holds of `empty`, `truncated` (JSON), `refusal`, `copied`, `truncated`, `language`; None for a proper answer."""
+def defects_by_end(question: str | None, answer: str | None) -> tuple[str | None, str | None, float | tuple]:
+    """The defect of a pair if its answer ends as it should, that if it breaks off there, and how surely it is complete or what Endings.answer() must be asked for that."""
     texts, broken = texts_of(answer)
     told = [t for t in texts if BLANK.sub("", t).lower() not in FILLERS]
     if not told:
-        return "empty"
+        return "empty", "empty", 1.0
     if broken:
-        return "truncated"
+        return "truncated", "truncated", 1.0
     whole = " ".join(t.strip() for t in told)
     if refuses(whole):
-        return "refusal"
+        return "refusal", "refusal", 1.0
     if question and copies(question, whole):
-        return "copied"
-    if breaks_off(told[-1], endings):
-        return "truncated"
-    if question:
-        asked = voted(question)
-        votes = Counter()
-        for t in told:
-            if v := voted(t):
-                votes[v] += len(QUOTED.sub(" ", t))
-        if asked and votes:
-            given, n = votes.most_common(1)[0]
-            if given != asked and n > sum(votes.values()) / 2:
-                return "language"
+        return "copied", "copied", 1.0
+    end = ending_of(told[-1])
+    return (None if isinstance(end, float) and end < DOUBT else other_language(question, told)), "truncated", end
+
+
+def other_language(question: str | None, told: list[str]) -> str | None:
+    """`language` if the most of an answer's texts is in another language than its question."""
+    asked = voted(question) if question else None
+    votes = Counter()
+    for t in told if asked else ():
+        if v := voted(t):
+            votes[v] += len(QUOTED.sub(" ", t))
+    if asked and votes:
+        given, n = votes.most_common(1)[0]
+        if given != asked and n > sum(votes.values()) / 2:
+            return "language"
     return None
 
 
-def breaks_off(text: str, endings: Endings | None) -> bool:
+def defect_of(question: str | None, answer: str | None, endings: Endings | None) -> str | None:
+    """The defect of a pair, the first that holds of `empty`, `truncated` (JSON), `refusal`, `copied`, `truncated`, `language`; None for a proper answer. Without endings no answer breaks off."""
+    whole, broken, end = defects_by_end(question, answer)
+    if endings is None:
+        return whole
+    return broken if (endings.answer(*end) if isinstance(end, tuple) else end) < DOUBT else whole
+
+
+def ending_of(text: str) -> float | tuple:
+    """How surely a text is complete, or what Endings.answer() must be asked for that."""
     end = core(text)
-    if not end or endings is None:
-        return False
     bare = end.rstrip("".join(CLOSING) + "*_ ")
-    if bare and bare[-1] in FINAL and bare[-1] != ".":
-        return False
-    return endings.complete(text) < DOUBT
+    if not end or bare and bare[-1] in FINAL and bare[-1] != ".":
+        return 1.0
+    return Endings.question(end)
 
 
-def learn_facts(answers: Iterable[str]) -> Endings:
-    """Endings learnt from the facts of answers; that of an answer's last fact isn't taken for one."""
-    inner: list[str] = []
-    last: list[str] = []
-    for answer in answers:
-        texts, broken = texts_of(answer)
-        told = [t for t in texts if t.strip()]
-        if told and not broken:
-            inner += told[:-1]
-            last.append(told[-1])
-    return Endings.fit(inner, last)
+def fact_ends(answer: str) -> list[tuple[str, bool]]:
+    """The facts of an answer from which endings are learnt, and whether their end teaches one: not that of the last."""
+    texts, broken = texts_of(answer)
+    told = [t for t in texts if t.strip()]
+    return [] if broken else [(t, i + 1 < len(told)) for i, t in enumerate(told)]
 
 
-def broken_pairs(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def broken_pairs(pairs: DataFrame) -> DataFrame:
     """One row for each defective key of question_generations: guide_id, group_id, grouping_method, model_name, defect.
 
     Repeated rows of a key count once, that of the least (question, answer); a null answer is empty, a null question can
     show neither copies nor languages; a null in the key makes no row. Other columns don't take part. Endings are learnt
-    from at most `sample` distinct answers of least hash, but not from the end of an answer, where it may break off; all
-    pairs are judged. The pairs are shuffled once, by key, and stored; besides, hashes of answers and the sample are.
+    from all distinct answers (see corpus.py), but not from the end of an answer, where it may break off. The pairs are
+    shuffled once, by key, and stored; besides, the distinct answers are, and the tokens of their facts stored.
     """
     key = ["guide_id", "group_id", "grouping_method", "model_name"]
     known = pairs.where(" AND ".join(f"{k} IS NOT NULL" for k in key))
     once = stored(known.groupBy(*key).agg(F.min(F.struct("question", "answer")).alias("pair")).select(*key, "pair.question", "pair.answer"))
-    shared = pairs.sparkSession.sparkContext.broadcast(learn_facts(distinct_sample(once, "answer", sample)))
-    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key) + ", defect string"
+    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key) + f", whole string, broken string, complete double, {QUESTION}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        endings = shared.value
         for batch in batches:
-            defects = [defect_of(q, a, endings) for q, a in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist())]
-            keep = pa.array([i for i, d in enumerate(defects) if d], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in key), pa.array([d for d in defects if d], pa.string())], names=[*key, "defect"])
+            found = [defects_by_end(q, a) for q, a in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist())]
+            keep = [i for i, (whole, _, end) in enumerate(found) if whole or isinstance(end, tuple) or end < DOUBT]
+            whole, broken, ends = zip(*(found[i] for i in keep)) if keep else ((), (), ())
+            at = pa.array(keep, pa.int32())
+            complete = pa.array([None if isinstance(x, tuple) else x for x in ends], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in key), pa.array(whole, pa.string()), pa.array(broken, pa.string()), complete, *questions(ends)], names=[*key, "whole", "broken", "complete", "asked", "scale", "tail"])
 
-    return spread(once).mapInArrow(run, schema)
+    judged = completed(stored(spread(once).mapInArrow(run, schema)), lambda: Corpus(token_table(distinct_texts(once, "answer"), fact_ends)))
+    return judged.select(*key, F.when(F.col("complete") < DOUBT, F.col("broken")).otherwise(F.col("whole")).alias("defect")).where("defect IS NOT NULL")

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quillon.llm import cuts, queries
-from quillon.llm.endings import Endings, core
+from quillon.llm.endings import TOKEN, Endings, core, tokens
 from quillon.llm.pairs import SuffixAutomaton, broken_pairs, copies, defect_of, refuses, texts_of, voted
 from quillon.llm.sentences import Learnt, _item, _Levels, learn, sentences, split_sentences, task_sentences
 
@@ -208,6 +208,32 @@ def test_copies_of_a_cut_answer_do_not_teach_its_ending(spark):
     assert {(i, "truncated") for i in range(len(answers) - 40, len(answers))} <= found and len(found) < 60
 
 
+def letters(i):
+    return "q" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "z"
+
+
+def test_endings_of_texts_are_learnt_from_all(spark, monkeypatch):
+    """Many more texts than once were sampled, with words that stand in few of them: as if all had been learnt from on the driver."""
+    rare = [(i, f"{i}. It was heard by the {letters(i % 20)}") for i in range(60)]
+    rows = [*rare, *((100 + i, f"It was heard by the {letters(i)}{'.' * (i % 3 == 0)}") for i in range(20, 15_000)), *((20_000 + i, t) for i, t, _ in corpus()[:300]), (30_000, rare[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS source")
+    alone = Endings.fit({t for _, t in rows})
+    want = sorted((i, alone.complete(t)) for i, t in rows)
+    assert sorted((r["id"], r["complete"]) for r in cuts.judged(df).collect()) == want and all(c > 0.5 for i, c in want if i < 60)
+    monkeypatch.setattr("quillon.llm.corpus.ASKED", 6_000)  # in parts
+    monkeypatch.setattr("quillon.llm.corpus.TOKENS", 5_000)
+    assert sorted((r["id"], r["complete"]) for r in cuts.judged(df).collect()) == want
+
+
+def test_tokens_of_chunks():
+    rnd = random.Random(5)
+    pieces = ["a", "é", "'", "’", "-", "1", "22", "\n", " ", "\n \n", "\t", "\xa0", "\x1c", "ก", "。", "漢字", ".", "́", "word", "\r"]
+    for _ in range(5000):
+        text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14)))
+        assert tokens(text) == TOKEN.findall(text)
+    assert core("It was so.") == "It was so." and core("It was so. Read more.") == "It was so." and core("It was...") == "It was"
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run_over_whole_tables(spark, name):
     """Each query gives rows of its columns, none of a found row null; exact neighbours are held against SQL."""
