@@ -225,6 +225,15 @@ def test_endings_of_texts_are_learnt_from_all(spark, monkeypatch):
     assert sorted((r["id"], r["complete"]) for r in cuts.judged(df).collect()) == want
 
 
+def test_endings_of_answers_are_learnt_from_all(spark):
+    """Twenty words stand in three of many answers each: an answer that ends in one is whole."""
+    answers = [facts(f"{i}. It was heard by the {letters(i % 20)}", "It was so.") for i in range(60)] + [facts(f"It was heard by the {letters(i)}", "It was so.") for i in range(20, 15_000)]
+    asked = [facts("It was so.", f"It was heard by the {letters(i)}") for i in range(20)] + [facts("It was so.", "It was heard by the")]
+    rows = [("g", i, None, a, "m", "x") for i, a in enumerate(asked + answers)]
+    df = spark.createDataFrame(rows, "guide_id string, group_id int, question string, answer string, grouping_method string, model_name string")
+    assert [(r["group_id"], r["defect"]) for r in broken_pairs(df).collect()] == [(20, "truncated")]
+
+
 def test_tokens_of_chunks():
     rnd = random.Random(5)
     pieces = ["a", "é", "'", "’", "-", "1", "22", "\n", " ", "\n \n", "\t", "\xa0", "\x1c", "ก", "。", "漢字", ".", "́", "word", "\r"]
